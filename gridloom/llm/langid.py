@@ -17,6 +17,7 @@ a single labelled row every text is `und`.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -27,6 +28,9 @@ from . import textcore as core
 
 #: Bounds of the fit: sample rows and dictionary bytes for each language, and languages.
 SAMPLE_ROWS, DICTIONARY_BYTES, MOST_LANGUAGES, LEVEL = 200, 192 << 10, 64, 3
+#: Texts below SHORT_BYTES are also encoded, by the strongest parser, with a second dictionary of this many bytes:
+#: the language's commonest sample words. Short matches pay there, as their offsets are small.
+SHORT_BYTES, SHORT_LEVEL, COMMON_BYTES, FILLER = 2000, 19, 3072, b" " * 96
 #: A margin below this share of the smallest size is a rejection.
 MIN_MARGIN = 0.0025
 #: Compressed sizes of one text aren't independent evidence for each bit; this tempers them.
@@ -36,7 +40,8 @@ _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def normal(text: str) -> bytes:
-    return b" ".join(text.lower().encode().translate(_KEEP).split())
+    """Words between single spaces, with one before and after, so that a lone word can match as a whole."""
+    return b" %s " % b" ".join(text.lower().encode().translate(_KEEP).split())
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -52,11 +57,22 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(span, span * SAMPLE_ROWS // n))])
     mark = F.pmod(F.xxhash64("k"), F.lit(span))
     sample = labelled.filter(mark < share[F.col("l")]).select("l", "t", mark.alias("m")).limit(2 * SAMPLE_ROWS * len(counts)).collect()
+    rows = sorted(((r["m"], r["l"], r["t"]) for r in sample), key=lambda r: r[:2])
+    halves = [assembled(rows[i::2], counts) for i in (0, 1)]
+    if all(all(h.values()) for h in halves):  # rows that the other half's dictionaries call another language are mislabelled
+        judges = [classifier(h) for h in halves]
+        sure = [r for i, r in enumerate(rows) if judges[1 - i % 2](r[2])[0] in (r[1], "und")]
+        rows = sure if {r[1] for r in sure} == {r[1] for r in rows} else rows
+    return assembled(rows, counts)
+
+
+def assembled(rows: list[tuple], languages) -> dict[str, bytes]:
+    """Dictionaries from (order, language, text) rows; whole texts only, those that don't fit are left out."""
     out = {}
-    for l in counts:
-        own = sorted((r["m"], r["t"]) for r in sample if r["l"] == l)
+    for l in languages:
+        own = [(m, t) for m, x, t in rows if x == l]
         taken, size = [], 0
-        for _, t in own:  # whole texts; the first of them that doesn't fit ends the dictionary unless it's still empty
+        for _, t in own:
             piece = normal(t)
             if taken and size + len(piece) > DICTIONARY_BYTES:
                 continue
@@ -66,20 +82,38 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return out
 
 
+def common(content: bytes) -> bytes:
+    """The commonest words of a dictionary, up to COMMON_BYTES; the commonest last, nearest to the text."""
+    taken, size = [], 0
+    for w, _ in sorted(Counter(content.split()).items(), key=lambda x: (-x[1], x[0])):
+        if size + len(w) + 1 > COMMON_BYTES:
+            break
+        taken.append(w)
+        size += len(w) + 1
+    return b" %s " % b" ".join(reversed(taken))
+
+
+def packer(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
 def classifier(dictionaries: dict[str, bytes]):
     """text -> (language, score, margin); sizes are of whole texts."""
     packers = []
     for l, content in dictionaries.items():
         if len(content) >= 8:
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            packers.append((l, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
+            packers.append((l, packer(content, LEVEL), packer(common(content), SHORT_LEVEL)))
 
     def classify(text: str | None) -> tuple[str, float, float]:
         if not text or not packers or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         raw = normal(text)
-        sizes = [len(p.compress(raw)) for _, p in packers]
+        short = len(raw) < SHORT_BYTES
+        if short:  # a tail of spaces, else the encoder stores a tiny text as it is, at equal size everywhere
+            raw += FILLER
+        sizes = [len(p.compress(raw)) + (len(q.compress(raw)) if short else 0) for _, p, q in packers]
         best = min(sizes)
         at = sizes.index(best)
         weight = [math.exp(-min(700.0, TEMPER * 8 * math.log(2) * (s - best))) for s in sizes]
