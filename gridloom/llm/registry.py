@@ -7,6 +7,7 @@ import importlib
 _MODULES = (
     "langid",
     "secrets",
+    "tokenfile",
 )
 
 QUERIES: dict = {}
