@@ -8,6 +8,7 @@ _MODULES = (
     "langid",
     "secrets",
     "tokenfile",
+    "jaccard",
 )
 
 QUERIES: dict = {}
