@@ -9,6 +9,7 @@ _MODULES = (
     "secrets",
     "tokenfile",
     "jaccard",
+    "kneser_ney",
 )
 
 QUERIES: dict = {}
