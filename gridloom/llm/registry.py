@@ -10,6 +10,7 @@ _MODULES = (
     "tokenfile",
     "jaccard",
     "kneser_ney",
+    "decontaminate",
 )
 
 QUERIES: dict = {}

@@ -79,12 +79,12 @@ def blocks(off: np.ndarray, most: int = BLOCK_BYTES):
         a = min(b, n)
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of words in data, and per row the index of its first word (n + 1 values)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    space = _SPACE[data]
+    space = between[data]
     opens = np.empty(n, bool)
     opens[0] = True
     opens[1:] = space[:-1]
@@ -99,9 +99,9 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of a block, and per row the index of its first word (rows + 1 values)."""
-    starts, ends, first = word_bounds(data, off)
+    starts, ends, first = word_bounds(data, off, between)
     if not len(starts):
         return np.zeros(0, np.uint64), first
     up, down = powers(len(data))
