@@ -11,6 +11,7 @@ _MODULES = (
     "jaccard",
     "kneser_ney",
     "decontaminate",
+    "neighbours",
 )
 
 QUERIES: dict = {}
