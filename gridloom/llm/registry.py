@@ -12,6 +12,8 @@ _MODULES = (
     "kneser_ney",
     "decontaminate",
     "neighbours",
+    "fixity",
+    "packing",
 )
 
 QUERIES: dict = {}
