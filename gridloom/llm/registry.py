@@ -14,6 +14,7 @@ _MODULES = (
     "neighbours",
     "fixity",
     "packing",
+    "toxicity",
 )
 
 QUERIES: dict = {}

@@ -40,7 +40,7 @@ def write(docs: DataFrame, path: str, kind: str, end_id: int, key: str = "doc_id
     spark = docs.sparkSession
     core.ship(spark)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    store, shards = tokens.build_store(rows, "t", path, kind)
+    store, shards = tokens.build_store(rows, "t", tokens.encoder(path), kind)
     folder = core.shared_folder(spark, "tokens")
     dtype = tokens.id_type(path)
 

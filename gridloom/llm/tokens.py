@@ -67,12 +67,33 @@ def wide_space_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(off, at[space], side="right") - 1)
 
 
+def short_runs(starts, ends, row) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of 3 to 10 neighbouring words of at most two bytes, one from each word that begins one."""
+    short = ends - starts <= 2
+    reach = np.arange(len(starts))
+    for d in range(1, 10):  # how far an unbroken run goes, ten words at most
+        if d < len(starts):
+            on = (reach[:-d] == np.arange(len(starts) - d) + d - 1) & short[d:] & short[:-d] & (row[d:] == row[:-d])
+            reach[:-d][on] += 1
+    at = np.flatnonzero(reach - np.arange(len(starts)) >= 2)
+    return starts[at], ends[reach[at]]
+
+
 def pieces(kind: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of a block's pieces, and per row the index of its first piece (rows + 1 values)."""
+    """Starts and ends of a block's pieces, and per row the index of its first piece (rows + 1 values).
+
+    Kinds are "words", "spaced", and "segments": words, and runs of very short ones.
+    """
     starts, ends, first = core.word_bounds(data, off)
     if kind == "words":
         return starts, ends, first
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    if kind == "segments":
+        s, e = short_runs(starts, ends, row)
+        s, e = np.concatenate([starts, s]), np.concatenate([ends, e])
+        order = np.argsort(s, kind="stable")
+        s, e = s[order], e[order]
+        return s, e, np.searchsorted(s, off)
     before = off[row]
     if len(starts):
         same = np.empty(len(starts), bool)
@@ -102,7 +123,7 @@ def piece_hashes(kind: str, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> n
     if not len(s):
         return np.zeros(0, np.uint64)
     up, down = core.powers(len(data))
-    sums = np.cumsum((core._CODE if kind == "words" else _EXACT)[data] * up, dtype=np.uint64)
+    sums = np.cumsum((_EXACT if kind == "spaced" else core._CODE)[data] * up, dtype=np.uint64)
     return core.mix64((sums[e - 1] - np.where(s > 0, sums[s - 1], np.uint64(0))) * down[s])
 
 
@@ -145,7 +166,22 @@ class Distinct:
         self.clear()
 
 
-def build_store(docs: DataFrame, text: str, path: str, kind: str) -> tuple[str, int]:
+def encoder(path: str):
+    """Pieces' bytes -> (values of each, all values): their token ids."""
+
+    def encode(w: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t, dtype, ids, counts = tokenizer(path), id_type(path), [], []
+        for i in range(0, len(starts), 4096):
+            words = [w[a : a + x].tobytes().decode() for a, x in zip(starts[i : i + 4096], n[i : i + 4096], strict=True)]
+            got = [x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((x for g in got for x in g), dtype, int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(ids)
+
+    return encode
+
+
+def build_store(docs: DataFrame, text: str, encode, kind: str) -> tuple[str, int]:
     """Encodes every distinct piece of the texts once; (folder, shards) of the files."""
     spark = docs.sparkSession
     core.ship(spark)
@@ -166,25 +202,19 @@ def build_store(docs: DataFrame, text: str, path: str, kind: str) -> tuple[str,
                     yield from flush()
         yield from flush()
 
-    def encode(group):
+    def save(group):
         column = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
         h, n, w = column("h", "<u8"), column("n", "<u4").astype(np.int64), column("w", np.uint8)
         u, at = np.unique(h, return_index=True)
-        ends = np.cumsum(n)
-        t, dtype, ids, counts = tokenizer(path), id_type(path), [], []
-        for i in range(0, len(at), 4096):
-            words = [w[ends[x] - n[x] : ends[x]].tobytes().decode() for x in at[i : i + 4096]]
-            got = [x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter((x for g in got for x in g), dtype, int(counts[-1].sum())))
+        counts, values = encode(w, (np.cumsum(n) - n)[at], n[at])
         k = group.column("shard")[0].as_py()
         core.put_file(f"{folder}/{k:06d}.hash", u)
-        core.put_file(f"{folder}/{k:06d}.end", np.cumsum(np.concatenate(counts)))
-        core.put_file(f"{folder}/{k:06d}.ids", np.concatenate(ids))
+        core.put_file(f"{folder}/{k:06d}.end", np.cumsum(counts))
+        core.put_file(f"{folder}/{k:06d}.ids", values)
         return pa.table({"shard": pa.array([k], pa.int32()), "pieces": pa.array([len(u)], pa.int64())})
 
     parts = docs.select(text).mapInArrow(collect, "shard int, h binary, n binary, w binary")
-    held = [r["shard"] for r in parts.groupBy("shard").applyInArrow(encode, "shard int, pieces bigint").collect()]
+    held = [r["shard"] for r in parts.groupBy("shard").applyInArrow(save, "shard int, pieces bigint").collect()]
     return folder, shards if held else 0
 
 
