@@ -39,13 +39,17 @@ from . import tokens
 LENGTH, DECAY, WIDTH = 4, 0.8, 24
 #: Bounds of the fit: toxic and clean rows, landmarks (at most 64), training segments.
 TOXIC_ROWS, CLEAN_ROWS, LANDMARKS, SEGMENTS = 1500, 3000, 48, 8000
-SHORTEST, LONGEST = 4, 9
+SHORTEST, LONGEST = 4, 10
 CUTOFF = 0.7
 
 # Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 
+START, STOP = "\x02", "\x03"  # a segment's ends, which match as letters do
+_ENDS = np.array([254, 255], np.uint8)
+
 _ASCII = np.zeros(128, np.uint8)
+_ASCII[[2, 3]] = _ENDS
 _ASCII[97:123] = np.arange(1, 27)
 _ASCII[65:91] = np.arange(1, 27)
 for _digit, _letter in STANDS_FOR.items():
@@ -67,14 +71,16 @@ def windows(w: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     code = codes(np.frombuffer(data.tobytes().decode().lower().encode("utf-32-le"), np.uint32).astype(np.int64)) if chars[-1] else np.zeros(0, np.uint8)
     if len(code) != chars[-1]:  # a few letters grow in lower case
         code = codes(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64))
-    a, z = chars[ends - n], chars[ends]
+    a, z, i = chars[ends - n], chars[ends], np.arange(len(starts))
+    code = np.insert(code, np.stack([a, z], axis=1).ravel(), np.tile(_ENDS, len(starts)))
+    a, z = a + 2 * i, z + 2 * i + 2
     size = z - a
     count = np.where(size > WIDTH, -(-(size - WIDTH) // (WIDTH // 2)) + 1, 1)
     owner = np.repeat(np.arange(len(starts)), count)
     first = a[owner] + tokens.ragged(np.zeros(len(starts), np.int64), count) * (WIDTH // 2)
     at = first[:, None] + np.arange(WIDTH)
     ok = at < z[owner][:, None]
-    return np.where(ok, code[np.minimum(at, len(code) - 1)] if len(code) else 0, 0).astype(np.uint8), owner
+    return np.where(ok, code[np.minimum(at, len(code) - 1)], 0).astype(np.uint8), owner
 
 
 def as_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +89,17 @@ def as_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return windows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(n) - n, n)
 
 
+def spelled(words: list[str]) -> np.ndarray:
+    """Code matrix of landmarks, whose ends are written out where they count."""
+    width = max(map(len, words))
+    return np.array([[*codes(np.array([ord(c) for c in w], np.int64)), *[0] * (width - len(w))] for w in words], np.uint8)
+
+
+def ended(word: str) -> str:
+    """A word between its ends, without signs at its edges."""
+    return START + re.sub(r"^[\W_]+|[\W_]+$", "", word) + STOP
+
+
 def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """k(x, z) for code matrices (rows, any width) and (landmarks, any width): (rows, landmarks)."""
     rows, marks, width = len(x), len(z), z.shape[1]
@@ -184,7 +201,7 @@ def landmarks(words: list[str], rows: list[list[int]], toxic: np.ndarray, kin: n
     n_toxic, n_clean = int((toxic & once).sum()), int((~toxic & once).sum())
     bad = {w: sum(map(toxic.__getitem__, d)) for w, d in held.items()}
     enriched = [w for w, d in held.items() if bad[w] >= 2 and (bad[w] + 0.5) / n_toxic > 8 * (len(d) - bad[w] + 0.5) / n_clean]
-    parts = lambda word: {p[i : i + k] for p in re.findall(r"[^\W_]+", word) for k in range(SHORTEST, LONGEST + 1) for i in range(len(p) - k + 1)}
+    parts = lambda word: {p[i : i + k] for p in re.findall(r"[^\W_\x02\x03]*[\x02\x03]?[^\W_\x02\x03]+[\x02\x03]?", ended(word)) for k in range(SHORTEST, LONGEST + 1) for i in range(len(p) - k + 1)}
     wanted = set().union(*(parts(words[w]) for w in enriched)) if enriched else set()
     holders = defaultdict(list)
     for w in held:
@@ -262,8 +279,7 @@ def fit(texts: list[str], toxic: np.ndarray, each: float = 1.0) -> Model:
     bad = landmarks(words, rows, toxic, copies(texts), each)
     if not bad:
         return flat
-    marks, _ = as_matrix(bad)
-    marks = marks[:, :LONGEST]
+    marks = spelled(bad)
     own = np.diag(kernel(marks, marks)).copy()
     pairs = np.zeros((256, 256), np.uint64)
     for i, m in enumerate(marks):
@@ -278,22 +294,20 @@ def fit(texts: list[str], toxic: np.ndarray, each: float = 1.0) -> Model:
     in_clean = np.zeros(len(words), bool)
     for i in np.flatnonzero(~toxic):
         in_clean[rows[i]] = True
-    up = [w for i, w in enumerate(words) if not in_clean[i] and has.search(w)][: SEGMENTS // 4]
-    up += [gapped(w, rng) for w in (bad * (SEGMENTS // 4 // len(bad) + 1))[: SEGMENTS // 4]]
-    m, owner = as_matrix(words)
-    probe = Model(marks, own, pairs, np.ones(len(bad), np.float32), 0.0, (none, none))
-    likeness = np.zeros(len(words), np.float32)
-    np.maximum.at(likeness, owner, probe.segments(m))
+    up = [w for i, w in enumerate(words) if not in_clean[i] and has.search(ended(w))][: SEGMENTS // 4]
+    plain = [w.strip(START + STOP) for w in bad]
+    up += [gapped(w, rng) for w in (plain * (SEGMENTS // 4 // len(bad) + 1))[: SEGMENTS // 4]]
     clean = np.flatnonzero(in_clean)
-    hard = clean[np.argsort(-likeness[clean], kind="stable")][: SEGMENTS // 4]
-    down = [words[i] for i in [*hard, *rng.choice(clean, min(len(clean), SEGMENTS // 4), replace=False)]]
-    train, back = as_matrix(up + down)
-    y = np.where(back < len(up), 1.0, -1.0)
-    f = np.minimum(kernel(train, marks) / own, 1)
-    w = svm(f @ white, y)
-    model = Model(marks, own, pairs, (white @ w[:-1]).astype(np.float32), float(w[-1]), (none, none))
-    score = np.full(len(words), -np.inf, np.float32)
-    np.maximum.at(score, owner, model.segments(m))
+    down = [words[i] for i in rng.choice(clean, min(len(clean), SEGMENTS // 4), replace=False)]
+    m, owner = as_matrix(words)
+    for _ in range(2):  # the second time with what the first took for toxic in clean texts
+        train, back = as_matrix(up + down)
+        y = np.where(back < len(up), 1.0, -1.0)
+        w = svm(np.minimum(kernel(train, marks) / own, 1) @ white, y)
+        model = Model(marks, own, pairs, (white @ w[:-1]).astype(np.float32), float(w[-1]), (none, none))
+        score = np.full(len(words), -np.inf, np.float32)
+        np.maximum.at(score, owner, model.segments(m))
+        down += [words[i] for i in clean[np.argsort(-score[clean], kind="stable")][: SEGMENTS // 4]]
     worst = np.array([score[r].max() if r else model.bias for r in rows])
     model.knots = monotone(worst, toxic.astype(float), np.where(toxic, 1.0, each))
     return model
