@@ -9,8 +9,8 @@ looking up each block with that many bits flipped finds every item within the
 radius. Candidates are then verified: the weighted Jaccard similarity of window
 and item shingles must reach THRESHOLD.
 
-Only windows that hold a shingle of some item are fingerprinted; others have
-similarity 0 with all of them, so nothing is lost. Prefix sums over the shingles'
+Only windows whose items' shingles weigh THRESHOLD of the lightest item of that
+length are fingerprinted; others can't reach the threshold, so nothing is lost. Prefix sums over the shingles'
 bits give any window's fingerprint in constant time.
 
 Defined cases: null or wordless items match nothing, nor do such documents. Items
@@ -78,7 +78,9 @@ class Items:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.shingles >> np.uint64(44)] = True
         self.prints = np.array([pack((signs(s) * self.weight(s)[:, None]).sum(axis=0, keepdims=True))[0] for s in self.runs], np.uint64)
+        totals = np.array([self.weight(s).sum() for s in self.runs])
         self.sizes = {int(w): np.flatnonzero(self.words == w) for w in np.unique(self.words)}
+        self.least = {w: THRESHOLD * totals[at].min() - 1e-9 for w, at in self.sizes.items()}
         near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)) <= RADIUS // BLOCKS
         self.tables = {w: [near[:, ((self.prints[at] >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)] for b in range(BLOCKS)] for w, at in self.sizes.items()}
 
@@ -134,13 +136,17 @@ class Items:
         for run in np.split(hits, np.flatnonzero(np.diff(hits) > max(lengths)) + 1):  # far runs share no window
             low, high = max(0, int(run[0]) - max(lengths)), min(len(s), int(run[-1]) + max(lengths))
             part = s[low:high]
-            sums = np.concatenate([np.zeros((1, 64)), np.cumsum(signs(part) * self.weight(part)[:, None], axis=0)])
-            near = np.concatenate([[0], np.cumsum(at[low:high] >= 0)])
+            sums = None
+            held = np.concatenate([[0.0], np.cumsum(np.where(at[low:high] >= 0, self.weights[at[low:high]], 0.0))])
             for w in lengths:
                 n = w - K + 1
                 if n > len(part):
                     continue
-                start = np.flatnonzero(near[n:] - near[:-n] > 0)
+                start = np.flatnonzero(held[n:] - held[:-n] >= self.least[w])
+                if not len(start):
+                    continue
+                if sums is None:
+                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(signs(part) * self.weight(part)[:, None], axis=0)])
                 prints = pack(sums[start + n] - sums[start])
                 ok = np.zeros((len(start), len(self.sizes[w])), bool)
                 for b in range(BLOCKS):
