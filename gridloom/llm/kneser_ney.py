@@ -73,16 +73,6 @@ def discount(c: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def planes(x: np.ndarray) -> bytes:
-    """A column's bytes by significance: high bytes, mostly zeros, compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def unplanes(b: bytes, kind) -> np.ndarray:
-    kind = np.dtype(kind)
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
-
-
 def merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
@@ -122,13 +112,13 @@ def blocks_of(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int) -> p
     rows = []
     for s in np.flatnonzero(np.diff(cut)):
         at = order[cut[s] : cut[s + 1]]
-        rows.append({"shard": int(s), "k": planes(np.diff(k[at], prepend=np.uint64(0))), "c": planes(c[at].astype("<u4"))})
+        rows.append({"shard": int(s), "k": core.planes(np.diff(k[at], prepend=np.uint64(0))), "c": core.planes(c[at].astype("<u4"))})
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("c", pa.binary())]))
 
 
 def summed(group) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in group.column("k").to_pylist()]
-    return merged(keys, [unplanes(x, "<u4").astype(np.int64) for x in group.column("c").to_pylist()])
+    keys = [np.cumsum(core.unplanes(x, "<u8"), dtype=np.uint64) for x in group.column("k").to_pylist()]
+    return merged(keys, [core.unplanes(x, "<u4").astype(np.int64) for x in group.column("c").to_pylist()])
 
 
 BLOCKS = "shard int, k binary, c binary"
@@ -260,7 +250,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
             a, z = cut[v], cut[v + 1] if v < shards else len(own)
             aw, zw = (cut_w[v], cut_w[v + 1]) if v < shards else (0, 0)
             if z > a or zw > aw:
-                rows.append({"shard": v, "own": planes(own[a:z]), "sums": b"".join(planes(x[a:z]) for x in columns), "w": planes(w[aw:zw]), "d": planes(d[aw:zw])})
+                rows.append({"shard": v, "own": core.planes(own[a:z]), "sums": b"".join(core.planes(x[a:z]) for x in columns), "w": core.planes(w[aw:zw]), "d": core.planes(d[aw:zw])})
         rows.append({"shard": -1, "own": tally.astype("<i8").tobytes(), "sums": np.array([len(k)], "<i8").tobytes(), "w": b"", "d": b""})
         return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in ("own", "sums", "w", "d"))]))
 
@@ -275,10 +265,10 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
             n = bases[s + 1] - bases[s] if s < shards else 1
             sums, before = np.zeros((4, n), np.int64), np.zeros(n, np.int64)
             for own, x, w, d in zip(*(group.column(c).to_pylist() for c in ("own", "sums", "w", "d")), strict=True):
-                at = unplanes(own, "<i8") - bases[s]
+                at = core.unplanes(own, "<i8") - bases[s]
                 for i in range(4):
-                    sums[i, at] += unplanes(x[i * len(own) : (i + 1) * len(own)], "<i8")  # a row's contexts are distinct
-                before[unplanes(w, "<i8") - bases[s]] += unplanes(d, "<i8")
+                    sums[i, at] += core.unplanes(x[i * len(own) : (i + 1) * len(own)], "<i8")  # a row's contexts are distinct
+                before[core.unplanes(w, "<i8") - bases[s]] += core.unplanes(d, "<i8")
             for name, x in zip(("total", "n1", "n2", "n3"), sums, strict=True):
                 core.put_file(f"{words_at}/{s:06d}.{name}", x)
             core.put_file(f"{words_at}/{s:06d}.before", before)

@@ -162,7 +162,7 @@ class Distinct:
         cut = np.searchsorted(shard_of(h, shards), np.arange(shards + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(cut)):
             a, b = cut[k], cut[k + 1]
-            yield int(k), h[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), w[ragged(starts[a:b], n[a:b])].tobytes()
+            yield int(k), core.planes(n[a:b].astype("<u4")), w[ragged(starts[a:b], n[a:b])].tobytes()
         self.clear()
 
 
@@ -190,7 +190,7 @@ def build_store(docs: DataFrame, text: str, encode, kind: str) -> tuple[str, int
 
     def collect(batches):
         found = Distinct()
-        schema = pa.schema([("shard", pa.int32()), ("h", pa.binary()), ("n", pa.binary()), ("w", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("n", pa.binary()), ("w", pa.binary())])
         flush = lambda: [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True))], schema=schema) for r in found.rows(shards)]
         for b in batches:
             data, off = core.string_buffers(b.column(0))
@@ -203,17 +203,18 @@ def build_store(docs: DataFrame, text: str, encode, kind: str) -> tuple[str, int
         yield from flush()
 
     def save(group):
-        column = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-        h, n, w = column("h", "<u8"), column("n", "<u4").astype(np.int64), column("w", np.uint8)
-        u, at = np.unique(h, return_index=True)
-        counts, values = encode(w, (np.cumsum(n) - n)[at], n[at])
+        n = np.concatenate([core.unplanes(x, "<u4") for x in group.column("n").to_pylist()]).astype(np.int64)
+        w = np.frombuffer(b"".join(group.column("w").to_pylist()), np.uint8)
+        ends = np.cumsum(n)
+        u, at = np.unique(piece_hashes(kind, w, ends - n, ends), return_index=True)
+        counts, values = encode(w, (ends - n)[at], n[at])
         k = group.column("shard")[0].as_py()
         core.put_file(f"{folder}/{k:06d}.hash", u)
         core.put_file(f"{folder}/{k:06d}.end", np.cumsum(counts))
         core.put_file(f"{folder}/{k:06d}.ids", values)
         return pa.table({"shard": pa.array([k], pa.int32()), "pieces": pa.array([len(u)], pa.int64())})
 
-    parts = docs.select(text).mapInArrow(collect, "shard int, h binary, n binary, w binary")
+    parts = docs.select(text).mapInArrow(collect, "shard int, n binary, w binary")
     held = [r["shard"] for r in parts.groupBy("shard").applyInArrow(save, "shard int, pieces bigint").collect()]
     return folder, shards if held else 0
 
