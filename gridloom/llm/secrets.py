@@ -34,6 +34,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Rows of the sample that the models are counted from, and the least mean ratio (nats a transition) of a secret.
 SAMPLE_DOCS, MIN_RATIO = 2000, 0.75
+#: Observations that the frequency of single characters counts for in a transition.
+BACKOFF = 5.0
 
 
 def matches(text: Column, pattern: str, kind: str, keep=None, group: int = 0) -> Column:
@@ -64,15 +66,16 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def train(samples: DataFrame, value: str = "value", label: str = "random") -> list[float]:
-    """Log ratio of each transition, random over ordinary, add-one smoothed; index = from * width + to.
+    """Log ratio of each transition, random over ordinary; index = from * width + to.
 
-    The counts have at most 2 * width * width rows, width being the alphabet's size.
+    Transitions lean to the frequency of the character they lead to. The counts have at most 2 * width * width rows, width being the alphabet's size.
     """
-    width = len(ALPHABET)
     pairs = samples.select(F.col(label).alias("label"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substr(F.col(value), i, F.lit(2)))).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.filter(F.length("pair") == 2).groupBy("label", "pair").agg(F.count("*").alias("n")).filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect()}
-    after = {(l, a): sum(counts.get((l, a + b), 0) for b in ALPHABET) + width for l in (True, False) for a in ALPHABET}
-    log = lambda l, a, b: math.log((counts.get((l, a + b), 0) + 1) / after[l, a])
+    each = {(l, b): sum(counts.get((l, a + b), 0) for a in ALPHABET) + 0.5 for l in (True, False) for b in ALPHABET}
+    whole = {l: sum(each[l, b] for b in ALPHABET) for l in (True, False)}
+    after = {(l, a): sum(counts.get((l, a + b), 0) for b in ALPHABET) for l in (True, False) for a in ALPHABET}
+    log = lambda l, a, b: math.log((counts.get((l, a + b), 0) + BACKOFF * each[l, b] / whole[l]) / (after[l, a] + BACKOFF))
     return [log(True, a, b) - log(False, a, b) for a in ALPHABET for b in ALPHABET]
 
 

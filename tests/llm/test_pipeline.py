@@ -1,0 +1,16 @@
+"""The pipeline's stages on the smallest documents."""
+
+import corpus_pipeline
+from gridloom.llm import textcore as core
+
+
+def test_stages(spark, sf):
+    docs = core.table(spark, sf, "documents")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = core.materialise(stage(spark, docs, sf), name)
+        if name != "pack":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            sizes.append(docs.count())
+    assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] == sizes[4]
+    assert docs.select("doc_id").distinct().count() == sizes[4]
