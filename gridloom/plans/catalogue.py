@@ -305,12 +305,12 @@ def frustum_cull_halfspace(spark, sf):
     return t.filter(select.in_frustum(hull, F.col("planes"))).groupBy("frame").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS frame, 0 AS z, x, 0 AS y FROM events, (SELECT CAST(x AS INTEGER) AS x FROM range(128) AS i(x)) WHERE event_id <= 200 AND x BETWEEN greatest(0, CAST(floor((event_id % 300 - 150 + 180) / 360.0 * 128) AS INTEGER)) AND least(127, CAST(floor((least(180, event_id % 300 - 150 + 20) + 180) / 360.0 * 128) AS INTEGER))")
+@query("SELECT event_id AS frame, 0 AS z, x, 0 AS y FROM events, (SELECT CAST(x AS INTEGER) AS x FROM range(128) AS i(x)) WHERE x BETWEEN greatest(0, CAST(floor((event_id % 300 - 150 + 180) / 360.0 * 128) AS INTEGER)) AND least(127, CAST(floor((least(180, event_id % 300 - 150 + 20) + 180) / 360.0 * 128) AS INTEGER))")
 def root_tiles_culled(spark, sf):
     half = spaces.WORLD / 2
     top = spark.createDataFrame([(0, spaces.WORLD / (128 * 256), 0.0, -half, 0.0, -spaces.WORLD / 256, half, 128 * 256, 256, 256, 256, 1.0)], "z int, a double, b double, c double, d double, e double, f double, array_w int, array_h int, tile_w int, tile_h int, mpu double")
     west = F.pmod("event_id", F.lit(300)) - 150.0
-    view = table(spark, sf, "events").filter("event_id <= 200").select(F.col("event_id").alias("frame"), west.alias("west"), F.lit(-80.0).alias("south"), (west + 20).alias("east"), F.lit(80.0).alias("north"))
+    view = table(spark, sf, "events").select(F.col("event_id").alias("frame"), west.alias("west"), F.lit(-80.0).alias("south"), (west + 20).alias("east"), F.lit(80.0).alias("north"))
     return select.roots(affine.with_level_facts(top), view)
 
 
@@ -471,13 +471,15 @@ def missing_tiles(spark, sf):
 _BOXED_SQL = f"SELECT z, x * 64.0 / (1 << z) AS x0, y * 64.0 / (1 << z) AS y0, (x + 1) * 64.0 / (1 << z) AS x1, (y + 1) * 64.0 / (1 << z) AS y1, session, event_type FROM (SELECT DISTINCT * FROM ({_TILES_SQL}))"
 
 
-@query(f"""WITH b AS ({_BOXED_SQL}) SELECT DISTINCT t.z, CAST(t.x0 AS DOUBLE) AS x0, CAST(t.y0 AS DOUBLE) AS y0, CAST(t.x1 AS DOUBLE) AS x1, CAST(t.y1 AS DOUBLE) AS y1 FROM b t WHERE t.event_type <> 'click' AND EXISTS (SELECT 1 FROM b s WHERE s.event_type = 'click' AND s.session = 3 AND t.x0 < s.x1 AND t.x1 > s.x0 AND t.y0 < s.y1 AND t.y1 > s.y0 AND t.z - s.z <= 2)""")
+@query(f"""WITH b AS ({_BOXED_SQL}), t AS (SELECT DISTINCT z, x0 + 56 AS x0, y0, x1 + 56 AS x1, y1 FROM b WHERE event_type <> 'click'), s AS (SELECT DISTINCT z, x0, y0, x1, y1 FROM b WHERE event_type = 'click')
+SELECT z, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM t WHERE EXISTS (SELECT 1 FROM s WHERE t.x0 < s.x1 AND t.x1 > s.x0 AND t.y0 < s.y1 AND t.y1 > s.y0 AND t.z - s.z <= 2)""")
 def overlap_semi(spark, sf):
-    def boxes(df):
+    """Tiles of a raster 56 units to the east that a selection still touches."""
+    def boxes(df, east):
         f = lambda c, d: ((F.col(c) + d) * 64.0 / F.expr("shiftleft(1, z)")).cast("double")
-        return df.select("z", f("x", 0).alias("x0"), f("y", 0).alias("y0"), f("x", 1).alias("x1"), f("y", 1).alias("y1")).distinct()
+        return df.select("z", (f("x", 0) + east).alias("x0"), f("y", 0).alias("y0"), (f("x", 1) + east).alias("x1"), f("y", 1).alias("y1")).distinct()
 
-    return scheduler.near_selection(boxes(_tiles(spark, sf, False)), boxes(_tiles(spark, sf, True).filter("session = 3")), 16.0)
+    return scheduler.near_selection(boxes(_tiles(spark, sf, False), 56), boxes(_tiles(spark, sf, True), 0), 16.0)
 
 
 @query(f"SELECT z, x, y, CAST(row_number() OVER (PARTITION BY z ORDER BY (x - 3) * (x - 3) + (y - 5) * (y - 5), x, y) AS INTEGER) AS r FROM (SELECT DISTINCT z, x, y FROM ({_TILES_SQL}) WHERE event_type = 'click')")
