@@ -17,6 +17,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship  # noqa: F401
+
 BLOCK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
@@ -29,14 +31,6 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it isn't installed there."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         size = max(n, 1 << 20)
