@@ -3,9 +3,9 @@
 A document is its set of distinct k-word shingles (64-bit hashes). Documents
 link when 100 * intersection >= 85 * union; the result is their components.
 
-Order all tokens by (class, hash), rare tokens before frequent ones. Class is
-any fixed function of the token; here a token is frequent if some run of a
-partition's documents holds it in FREQUENT distinct sets or more.
+Order all tokens by (class, hash), rare tokens before frequent ones. Any fixed
+function of the token may be its class; here frequent tokens are those that more
+than SMALL sets hold, as far as they are counted.
 
 * Let x have n tokens and p = n - ceil(0.85 n) + 1. The first token that a pair
   shares lies in both p-prefixes. If it is rare, both sides have it as a single key.
@@ -22,6 +22,11 @@ with one of them, and after components are known, only what is still apart.
 So a group of near copies costs a number of checks in proportion to its size,
 and no link between different components goes unseen.
 
+Before sets are fetched, a sieve drops pairs by parity sketches: a set's tokens
+flip the bits of a table about as large as the set, and two tables differ in no
+more bits than the sets differ in tokens. A link allows (n + m) * 15 / 185 of those, so
+whatever the sieve drops isn't linked.
+
 Rows move as binary blocks, dealt by hash of the key; sets, classes and labels
 lie in the shared folder as sorted arrays that workers map.
 
@@ -43,11 +48,15 @@ from . import textcore as core
 from . import tokens
 
 K, PERCENT = 4, 85
-#: A token is frequent from so many distinct sets among RUN_TOKENS tokens of a partition.
+#: What is counted at a time, and from how many sets of such a run a token counts as frequent that isn't counted in full.
 FREQUENT, RUN_TOKENS = 4, 2_000_000
 GAP, ALL_TWOS, SMALL = 5, 8, 32
+#: Tokens below this hash are counted in full: prefixes hold the smallest hashes of a class, 15 % of a set and hardly over 30.
+COUNTED = np.uint64(int(0.3 * 2**64))
 #: Index entries that a task holds before it hands them on.
 FLUSH = 1_000_000
+#: Tokens whose classes are looked up at a time.
+ASKED = 400_000
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,6 +97,26 @@ def keys(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([rare, *twos])
 
 
+def sketch(u: np.ndarray) -> np.ndarray:
+    """Size (four bytes) and parity table of a set; the table has a power of two of bits, 64 at least."""
+    bits = 64
+    while bits < len(u):
+        bits *= 2
+    table = np.packbits((np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+    return np.concatenate([np.array([len(u)], "<u4").view(np.uint8), table])
+
+
+def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sketches allow a link; the larger table is folded onto the smaller one."""
+    n = int(x[:4].copy().view("<u4")[0]) + int(y[:4].copy().view("<u4")[0])
+    x, y = x[4:], y[4:]
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * n
+
+
 class Classes:
     """Membership in the sorted files of frequent tokens."""
 
@@ -134,17 +163,22 @@ def joined(group, i: int, kind="<u8") -> np.ndarray:
 
 
 def frequent_tokens(docs: DataFrame, shards: int) -> str:
-    """Folder of the frequent tokens' sorted hashes, a file for each hash range."""
+    """Folder of the frequent tokens' sorted hashes, a file for each hash range.
+
+    Tokens below COUNTED, where prefixes come from, are counted over all distinct sets of each run; they are
+    frequent in more than SMALL of them. Others are frequent if a run holds them in FREQUENT sets or more.
+    """
     folder = core.shared_folder(docs.sparkSession, "frequent")
 
     def count(batches):
         held, seen, size = [], set(), 0
 
-        def often():
+        def rows():
             u, n = np.unique(np.concatenate(held), return_counts=True)
-            u = u[n >= FREQUENT]
+            keep = (u < COUNTED) | (n >= FREQUENT)
+            u, n = u[keep], n[keep].astype("<u4")
             cut = np.searchsorted(tokens.shard_of(u, shards), np.arange(shards + 1, dtype=np.uint64))
-            return [{"shard": int(k), "c0": u[cut[k] : cut[k + 1]].tobytes()} for k in np.flatnonzero(np.diff(cut))]
+            return [{"shard": int(k), "c0": core.planes(np.diff(u[cut[k] : cut[k + 1]], prepend=np.uint64(0))), "c1": core.planes(n[cut[k] : cut[k + 1]])} for k in np.flatnonzero(np.diff(cut))]
 
         for b in batches:
             for u in sets(b.column(0)):
@@ -153,33 +187,63 @@ def frequent_tokens(docs: DataFrame, shards: int) -> str:
                     held.append(u)
                     size += len(u)
                     if size >= RUN_TOKENS:
-                        yield as_batch(often(), 1)
+                        yield as_batch(rows(), 2)
                         held, seen, size = [], set(), 0
         if held:
-            yield as_batch(often(), 1)
+            yield as_batch(rows(), 2)
 
     def save(group):
         k = group.column("shard")[0].as_py()
-        core.put_file(f"{folder}/{k:06d}", np.unique(joined(group, 0)))
+        u = np.concatenate([np.cumsum(core.unplanes(x, "<u8"), dtype=np.uint64) for x in group.column("c0").to_pylist()])
+        n = np.concatenate([core.unplanes(x, "<u4") for x in group.column("c1").to_pylist()])
+        order = np.argsort(u, kind="stable")
+        u, n = u[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        total, u = np.add.reduceat(n.astype(np.int64), at), u[at]
+        core.put_file(f"{folder}/{k:06d}", u[(total > SMALL) | (u >= COUNTED)])
         return pa.table({"shard": pa.array([k], pa.int32())})
 
-    docs.select("t").mapInArrow(count, block_schema(1)).groupBy("shard").applyInArrow(save, "shard int").count()
+    docs.select("t").mapInArrow(count, block_schema(2)).groupBy("shard").applyInArrow(save, "shard int").count()
     return folder
 
 
 def index_entries(docs: DataFrame, classes: str, shards: int, facts: str) -> DataFrame:
-    """Blocks of (key, set id, size), dealt by key; writes (id, size, set id) of every row to `facts` on the way."""
+    """Blocks of (key, set id, size), dealt by key, and from shard `shards` on of (set id, bytes, sketch), by set id.
+
+    Writes (id, size, set id) of every row to `facts` on the way.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         known, seen = Classes(classes, shards), set()
-        parts, size = [], 0
+        parts, size, wait, waiting = [], 0, [], 0
         ids, sizes, sids = [], [], []
 
+        def ask() -> int:
+            """Keys of the waiting sets, whose classes are looked up together."""
+            if not wait:
+                return 0
+            flat, made = np.concatenate([u for _, u in wait]), 0
+            order = np.argsort(flat, kind="stable")
+            mask = np.empty(len(flat), bool)
+            mask[order] = known.has(flat[order])
+            ends = np.cumsum([len(u) for _, u in wait])
+            for (s, u), z in zip(wait, ends, strict=True):
+                k = keys(u, mask[z - len(u) : z])
+                parts.append((k, np.full(len(k), s, np.uint64), np.full(len(k), len(u), np.uint32), s, sketch(u)))
+                made += len(k)
+            wait.clear()
+            return made
+
         def flush():
             k, s, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            return as_batch(list(dealt(k, [k, s, n], shards)), 3)
+            own, tables = np.array([p[3] for p in parts], np.uint64), [p[4] for p in parts]
+            to, rows = tokens.shard_of(own, shards), list(dealt(k, [k, s, n], shards))
+            for x in np.unique(to):
+                at = np.flatnonzero(to == x)
+                rows.append({"shard": int(x) + shards, "c0": own[at].tobytes(), "c1": np.array([len(tables[i]) for i in at], "<u4").tobytes(), "c2": b"".join(tables[i].tobytes() for i in at)})
+            return as_batch(rows, 3)
 
         for b in batches:
             ids.append(b.column(0).cast(pa.int64()))
@@ -189,12 +253,15 @@ def index_entries(docs: DataFrame, classes: str, shards: int, facts: str) -> Dat
                 sids.append(s)
                 if len(u) and s not in seen:
                     seen.add(s)
-                    k = keys(u, known.has(u))
-                    parts.append((k, np.full(len(k), s, np.uint64), np.full(len(k), len(u), np.uint32)))
-                    size += len(k)
+                    wait.append((s, u))
+                    waiting += len(u)
+                    if waiting >= ASKED:
+                        size += ask()
+                        waiting = 0
                     if size >= FLUSH:
                         yield flush()
                         parts, size = [], 0
+        ask()
         if parts:
             yield flush()
         if sids:
@@ -232,10 +299,14 @@ def groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.concatenate([starts[1:], [len(k)]]).astype(np.int64) if len(k) else starts
 
 
-def candidates(entries: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Writes the keys that several sets hold to `folder`; blocks of the pairs to verify first."""
+def candidates(entries: DataFrame, folder: str, sketches: str, shards: int) -> DataFrame:
+    """Writes the keys that many sets hold to `folder` and sketches as a Store; blocks of the pairs to verify first."""
 
     def run(group):
+        shard = group.column("shard")[0].as_py()
+        if shard >= shards:
+            save_store(sketches, shard - shards, joined(group, 0), joined(group, 1, "<u4").astype(np.int64), joined(group, 2, np.uint8))
+            return pa.Table.from_batches([as_batch([], 2)])
         key, sid, n = joined(group, 0), joined(group, 1), joined(group, 2, "<u4")
         order = np.lexsort((sid, key))
         key, sid, n = key[order], sid[order], n[order]
@@ -246,7 +317,6 @@ def candidates(entries: DataFrame, folder: str, shards: int) -> DataFrame:
         key, sid, n = key[held], sid[held], n[held]
         a, z = groups(key)
         big = z - a > SMALL
-        shard = group.column("shard")[0].as_py()
         of_big = np.repeat(big, z - a)
         if of_big.any():
             core.put_file(f"{folder}/{shard:06d}.key", key[of_big])
@@ -266,13 +336,39 @@ def candidates(entries: DataFrame, folder: str, shards: int) -> DataFrame:
         pairs = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.uint64)
         x, y = pairs[:, 0], pairs[:, 1]
         rows = list(dealt(x ^ (y * _PAIR), [x, y], shards))
-        need = np.unique(np.concatenate([x, y, sid[of_big]]))
+        need = np.unique(sid[of_big])
         rows += [r | {"shard": r["shard"] + shards, "c1": b""} for r in dealt(need, [need], shards)]
         return pa.Table.from_batches([as_batch(rows, 2)])
 
     return entries.groupBy("shard").applyInArrow(run, block_schema(2))
 
 
+def save_store(folder: str, k: int, s: np.ndarray, n: np.ndarray, values: np.ndarray) -> None:
+    """A shard of a Store: the values of each distinct id."""
+    once, at = np.unique(s, return_index=True)
+    core.put_file(f"{folder}/{k:06d}.hash", once)
+    core.put_file(f"{folder}/{k:06d}.end", np.cumsum(n[at]))
+    core.put_file(f"{folder}/{k:06d}.ids", values[tokens.ragged((np.cumsum(n) - n)[at], n[at])])
+
+
+def sieved(pairs: DataFrame, sketches: str, shards: int) -> DataFrame:
+    """The pairs that sketches allow, each once, and from shard `shards` on the set ids that they need."""
+
+    def run(group):
+        pairs = np.unique(np.stack([joined(group, 0), joined(group, 1)], axis=1), axis=0)
+        store, keep, last, own = tokens.opened_store(sketches, shards, np.uint8), np.zeros(len(pairs), bool), None, None
+        for i, (x, y) in enumerate(pairs):
+            if x != last:
+                last, own = x, np.array(one_set(store, x))
+            keep[i] = may_link(own, one_set(store, y))
+        x, y = pairs[keep, 0], pairs[keep, 1]
+        need = np.unique(pairs[keep])
+        rows = [{"shard": group.column("shard")[0].as_py(), "c0": x.tobytes(), "c1": y.tobytes()}] + [r | {"shard": r["shard"] + shards, "c1": b""} for r in dealt(need, [need], shards)]
+        return pa.Table.from_batches([as_batch(rows, 2)])
+
+    return pairs.groupBy("shard").applyInArrow(run, block_schema(2))
+
+
 def write_sets(docs: DataFrame, needed: DataFrame, shards: int) -> str:
     """The sets that candidates need, as a Store by set id."""
     spark = docs.sparkSession
@@ -317,12 +413,8 @@ def write_sets(docs: DataFrame, needed: DataFrame, shards: int) -> str:
             yield flush()
 
     def save(group):
-        s, n, u = joined(group, 0), joined(group, 1, "<u4").astype(np.int64), joined(group, 2)
-        once, at = np.unique(s, return_index=True)
         k = group.column("shard")[0].as_py()
-        core.put_file(f"{folder}/{k:06d}.hash", once)
-        core.put_file(f"{folder}/{k:06d}.end", np.cumsum(n[at]))
-        core.put_file(f"{folder}/{k:06d}.ids", u[tokens.ragged((np.cumsum(n) - n)[at], n[at])])
+        save_store(folder, k, joined(group, 0), joined(group, 1, "<u4").astype(np.int64), joined(group, 2))
         return pa.table({"shard": pa.array([k], pa.int32())})
 
     docs.select("t").mapInArrow(run, block_schema(3)).groupBy("shard").applyInArrow(save, "shard int").count()
@@ -450,14 +542,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     facts_at, lists = core.shared_folder(spark, "facts"), core.shared_folder(spark, "lists")
     entries = index_entries(rows, frequent_tokens(rows, shards), shards, facts_at)
-    found = core.materialise(candidates(entries, lists, shards), "candidates")
-    sets_at = write_sets(rows, found.filter(F.col("shard") >= shards).select("shard", "c0"), shards)
-    first = core.materialise(verified(found.filter(F.col("shard") < shards), sets_at, shards), "links")
+    sketches = core.shared_folder(spark, "sketches")
+    found = core.materialise(candidates(entries, lists, sketches, shards), "candidates")
+    left = core.materialise(sieved(found.filter(F.col("shard") < shards), sketches, shards), "sieved")
+    need = left.filter(F.col("shard") >= shards).unionByName(found.filter(F.col("shard") >= shards)).select("shard", "c0")
+    sets_at = write_sets(rows, need, shards)
+    first = core.materialise(verified(left.filter(F.col("shard") < shards), sets_at, shards), "links")
     stars = cc.components(first)
     more = core.materialise(still_apart(spark, lists, sets_at, write_labels(stars, shards), shards), "links")
     if more.limit(1).count():
         stars = cc.components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    for used in (lists, sets_at):
+    for used in (lists, sets_at, sketches):
         core.drop_folder(used)
     facts = core.materialise(read_facts(spark, facts_at), "facts")
     own = facts.filter("n > 0").groupBy("sid").agg(F.min("id").alias("low")).join(stars.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -473,10 +568,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; documents without words stay."""
-    found = join(docs)
+    """One document of each group stays, the one with the smallest id; documents without words stay, and rows without an id."""
+    found = core.materialise(join(docs), "groups")
     gone = found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id", "text"])  # a repeated row is a copy too
 
 
 QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
