@@ -192,6 +192,11 @@ def map_file(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def drop_file(uri: str) -> None:
+    fs, path = _from_uri(uri)
+    fs.delete_file(path)
+
+
 def drop_folder(uri: str) -> None:
     fs, path = _from_uri(uri)
     try:

@@ -278,6 +278,41 @@ def test_packing_keeps_every_id(spark, docs, empty):
     assert packing.pack(empty, packing.byte_bpe()).count() == 0
 
 
+def test_packing_searches_the_whole_corpus(spark):
+    rng = np.random.default_rng(11)
+    words = rng.permutation([a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"])
+    rows = [(i, " ".join(rng.choice(words[i % 8 :: 8], int(rng.integers(60, 300))))) for i in range(160)]
+    want = None
+    for parts, options in (("2", {}), ("5", {"shard": 16, "seeds": 7, "most": 5})):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(int(parts))
+            got = sorted(tuple(r) for r in packing.pack(docs, packing.byte_bpe(), **options).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert want is None or got == want
+        want = got
+
+    # the greedy pass over the whole corpus, piece by piece
+    pieces = [np.array([*x, packing.END_ID]) for x in library_ids("byte_bpe_50k.json", [t for _, t in rows])]
+    assert max(map(len, pieces)) < packing.WINDOW
+    index, left, made, sequence = packing.Index(pieces), np.array([len(p) for p in pieces]), [], 0
+    while left.sum() >= packing.WINDOW:
+        seed = int(np.flatnonzero(left)[0])
+        score = index.scores(seed)
+        score[seed] = np.inf
+        offset = 0
+        for i in np.lexsort((np.arange(len(score)), -score)):
+            part = min(left[i], packing.WINDOW - offset)
+            if part:
+                made.append((i, len(pieces[i]) - left[i], part, sequence, offset))
+                left[i] -= part
+                offset += part
+        sequence += 1
+    assert [(d, a, n, s, o) for d, a, n, _, _, s, o in want if s < sequence] == sorted(made)
+
+
 def test_bm25_is_the_formula():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(0, 30, int(rng.integers(3, 40))).astype(np.uint16) for _ in range(20)]
