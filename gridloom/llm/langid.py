@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import textcore as core
 
-#: Bounds of the fit: sample rows and dictionary bytes for each language, and languages.
-SAMPLE_ROWS, DICTIONARY_BYTES, MOST_LANGUAGES, LEVEL = 200, 192 << 10, 64, 3
+#: Bounds of the fit for each language: sample rows and dictionary bytes. Every labelled language is learnt.
+SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 200, 192 << 10, 3
 #: Texts below SHORT_BYTES are also encoded, by the strongest parser, with a second dictionary of this many bytes:
 #: the language's commonest sample words. Short matches pay there, as their offsets are small.
 SHORT_BYTES, SHORT_LEVEL, COMMON_BYTES, FILLER = 2000, 19, 3072, b" " * 96
@@ -50,7 +50,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Languages are ordered by falling number of rows, the order in which ties go.
     """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").collect()}
     if not counts:
         return {}
     span = 1 << 40
@@ -126,7 +126,7 @@ def classifier(dictionaries: dict[str, bytes]):
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """key, lang_pred, score, margin, rejected - one row for each row of docs."""
     core.ship(docs.sparkSession)
-    bag = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MOST_LANGUAGES dictionaries of bounded size
+    bag = docs.sparkSession.sparkContext.broadcast(dictionaries)  # a dictionary of bounded size for each language
 
     def run(batches):
         classify = classifier(bag.value)

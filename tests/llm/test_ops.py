@@ -378,6 +378,15 @@ def test_language_id(spark, empty):
     assert langid.stage(spark, empty, "").count() == 0
 
 
+def test_every_labelled_language_is_learnt(spark):
+    sounds = [a + b for a in "bdfgklmnpr" for b in "aeiouyw"]
+    rows = [(100 * i + j, f"{x}{x} zo{x}t {x}{j % 3} {x}qu{x}", f"l{i:02d}") for i, x in enumerate(sounds) for j in range(3)]
+    found = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert set(found) == {f"l{i:02d}" for i in range(70)} and all(found.values())
+    pred = langid.classifier(found)("zowwt wwww quww kwkw zokwt kwqukw kwkw zokwt kwqukw")[0]
+    assert pred == f"l{sounds.index('kw'):02d}"
+
+
 # --- 8: decontamination ---------------------------------------------------
 
 
