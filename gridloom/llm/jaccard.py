@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 A document is its set of distinct k-word shingles (64-bit hashes). Documents
-link when 100 * intersection >= 85 * union; the result is their components.
+link when 100 * intersection >= 85 * union; the result is their components. The pipeline's
+stage joins sets of five-word shingles at 80 percent; what follows is told for 85.
 
 Order all tokens by (class, hash), rare tokens before frequent ones. Any fixed
 function of the token may be its class; here frequent tokens are those that more
@@ -15,6 +16,9 @@ than SMALL sets hold, as far as they are counted.
   e). They index combinations of two frequent tokens at most GAP apart there:
   were every two consecutive shared tokens further apart on either side, the gaps
   would not fit (2 (2p - 2) / (GAP + 1) < e - 1). Prefixes with p <= 8 index all their twos.
+  With sizes n <= m of unlike p and q the gaps are (2p - 2 + 2q - 2) / (GAP + 1), so q - 1 < 2 (p - 1) is
+  needed: at 80 percent m <= 1.25 n, p - 1 > n / 5 - 1, and q - 1 <= n / 4, which holds from n = 14 on, and p > 8 means
+  n >= 40. If only q > 8, n is 32 to 39 and q at most 10: 18 / 6 < 6 - 1. A higher share only narrows this.
 
 Keys that several sets hold give candidates, verified on whole sets. Up to
 SMALL sets of a key are compared all with all; a larger key first compares all
@@ -24,7 +28,7 @@ and no link between different components goes unseen.
 
 Before sets are fetched, a sieve drops pairs by parity sketches: a set's tokens
 flip the bits of a table about as large as the set, and two tables differ in no
-more bits than the sets differ in tokens. A link allows (n + m) * 15 / 185 of those, so
+more bits than the sets differ in tokens. A link at 85 percent allows (n + m) * 15 / 185 of those, so
 whatever the sieve drops isn't linked.
 
 Rows move as binary blocks, dealt by hash of the key; sets, classes and labels
@@ -48,6 +52,8 @@ from . import textcore as core
 from . import tokens
 
 K, PERCENT = 4, 85
+#: Of the pipeline's stage.
+STAGE_K, STAGE_PERCENT = 5, 80
 #: What is counted at a time, and from how many sets of such a run a token counts as frequent that isn't counted in full.
 FREQUENT, RUN_TOKENS = 4, 2_000_000
 GAP, ALL_TWOS, SMALL = 5, 8, 32
@@ -61,14 +67,14 @@ ASKED = 400_000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
-def mismatch(n: int) -> int:
+def mismatch(n: int, percent: int = PERCENT) -> int:
     """p: one more than the tokens of a set that a linked set may lack."""
-    return n - (PERCENT * n + 99) // 100 + 1
+    return n - (percent * n + 99) // 100 + 1
 
 
-def fits(n, m):
+def fits(n, m, percent: int = PERCENT):
     """Whether sizes n and m allow a link."""
-    return PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
+    return percent * np.maximum(n, m) <= 100 * np.minimum(n, m)
 
 
 def set_id(u: np.ndarray) -> int:
@@ -84,9 +90,9 @@ def sets(column, k: int = K):
             yield np.unique(core.shingles(h[first[i] : first[i + 1]], k))
 
 
-def keys(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def keys(u: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index keys of a set; frequent: mask over u."""
-    p = mismatch(len(u))
+    p = mismatch(len(u), percent)
     rare = u[~frequent][:p]
     if len(rare) >= p:
         return rare
@@ -106,7 +112,7 @@ def sketch(u: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([len(u)], "<u4").view(np.uint8), table])
 
 
-def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+def may_link(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether sketches allow a link; the larger table is folded onto the smaller one."""
     n = int(x[:4].copy().view("<u4")[0]) + int(y[:4].copy().view("<u4")[0])
     x, y = x[4:], y[4:]
@@ -114,7 +120,7 @@ def may_link(x: np.ndarray, y: np.ndarray) -> bool:
         x, y = y, x
     if len(x) > len(y):
         x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * n
+    return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * n
 
 
 class Classes:
@@ -162,7 +168,7 @@ def joined(group, i: int, kind="<u8") -> np.ndarray:
     return np.frombuffer(b"".join(group.column(f"c{i}").to_pylist()), kind)
 
 
-def frequent_tokens(docs: DataFrame, shards: int) -> str:
+def frequent_tokens(docs: DataFrame, shards: int, words: int) -> str:
     """Folder of the frequent tokens' sorted hashes, a file for each hash range.
 
     Tokens below COUNTED, where prefixes come from, are counted over all distinct sets of each run; they are
@@ -181,7 +187,7 @@ def frequent_tokens(docs: DataFrame, shards: int) -> str:
             return [{"shard": int(k), "c0": core.planes(np.diff(u[cut[k] : cut[k + 1]], prepend=np.uint64(0))), "c1": core.planes(n[cut[k] : cut[k + 1]])} for k in np.flatnonzero(np.diff(cut))]
 
         for b in batches:
-            for u in sets(b.column(0)):
+            for u in sets(b.column(0), words):
                 if len(u) and (s := set_id(u)) not in seen:
                     seen.add(s)
                     held.append(u)
@@ -207,7 +213,7 @@ def frequent_tokens(docs: DataFrame, shards: int) -> str:
     return folder
 
 
-def index_entries(docs: DataFrame, classes: str, shards: int, facts: str) -> DataFrame:
+def index_entries(docs: DataFrame, classes: str, shards: int, facts: str, words: int, percent: int) -> DataFrame:
     """Blocks of (key, set id, size), dealt by key, and from shard `shards` on of (set id, bytes, sketch), by set id.
 
     Writes (id, size, set id) of every row to `facts` on the way.
@@ -230,7 +236,7 @@ def index_entries(docs: DataFrame, classes: str, shards: int, facts: str) -> Dat
             mask[order] = known.has(flat[order])
             ends = np.cumsum([len(u) for _, u in wait])
             for (s, u), z in zip(wait, ends, strict=True):
-                k = keys(u, mask[z - len(u) : z])
+                k = keys(u, mask[z - len(u) : z], percent)
                 parts.append((k, np.full(len(k), s, np.uint64), np.full(len(k), len(u), np.uint32), s, sketch(u)))
                 made += len(k)
             wait.clear()
@@ -247,7 +253,7 @@ def index_entries(docs: DataFrame, classes: str, shards: int, facts: str) -> Dat
 
         for b in batches:
             ids.append(b.column(0).cast(pa.int64()))
-            for u in sets(b.column(1)):
+            for u in sets(b.column(1), words):
                 s = set_id(u) if len(u) else 0
                 sizes.append(len(u))
                 sids.append(s)
@@ -299,7 +305,7 @@ def groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.concatenate([starts[1:], [len(k)]]).astype(np.int64) if len(k) else starts
 
 
-def candidates(entries: DataFrame, folder: str, sketches: str, shards: int) -> DataFrame:
+def candidates(entries: DataFrame, folder: str, sketches: str, shards: int, percent: int) -> DataFrame:
     """Writes the keys that many sets hold to `folder` and sketches as a Store; blocks of the pairs to verify first."""
 
     def run(group):
@@ -326,12 +332,12 @@ def candidates(entries: DataFrame, folder: str, sketches: str, shards: int) -> D
             at = np.flatnonzero((key[:-d] == key[d:]) & ~of_big[d:]) if d < len(key) else np.zeros(0, np.int64)
             if not len(at):
                 break
-            at = at[fits(n[at].astype(np.int64), n[at + d].astype(np.int64))]
+            at = at[fits(n[at].astype(np.int64), n[at + d].astype(np.int64), percent)]
             left.append(sid[at])
             right.append(sid[at + d])
         first = np.repeat(a, z - a)
         star = np.flatnonzero(of_big & (first != np.arange(len(key))))
-        star = star[fits(n[star].astype(np.int64), n[first[star]].astype(np.int64))]
+        star = star[fits(n[star].astype(np.int64), n[first[star]].astype(np.int64), percent)]
         x, y = np.concatenate([*left, sid[first[star]]]), np.concatenate([*right, sid[star]])
         pairs = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.uint64)
         x, y = pairs[:, 0], pairs[:, 1]
@@ -351,7 +357,7 @@ def save_store(folder: str, k: int, s: np.ndarray, n: np.ndarray, values: np.nda
     core.put_file(f"{folder}/{k:06d}.ids", values[tokens.ragged((np.cumsum(n) - n)[at], n[at])])
 
 
-def sieved(pairs: DataFrame, sketches: str, shards: int) -> DataFrame:
+def sieved(pairs: DataFrame, sketches: str, shards: int, percent: int) -> DataFrame:
     """The pairs that sketches allow, each once, and from shard `shards` on the set ids that they need."""
 
     def run(group):
@@ -360,7 +366,7 @@ def sieved(pairs: DataFrame, sketches: str, shards: int) -> DataFrame:
         for i, (x, y) in enumerate(pairs):
             if x != last:
                 last, own = x, np.array(one_set(store, x))
-            keep[i] = may_link(own, one_set(store, y))
+            keep[i] = may_link(own, one_set(store, y), percent)
         x, y = pairs[keep, 0], pairs[keep, 1]
         need = np.unique(pairs[keep])
         rows = [{"shard": group.column("shard")[0].as_py(), "c0": x.tobytes(), "c1": y.tobytes()}] + [r | {"shard": r["shard"] + shards, "c1": b""} for r in dealt(need, [need], shards)]
@@ -369,7 +375,7 @@ def sieved(pairs: DataFrame, sketches: str, shards: int) -> DataFrame:
     return pairs.groupBy("shard").applyInArrow(run, block_schema(2))
 
 
-def write_sets(docs: DataFrame, needed: DataFrame, shards: int) -> str:
+def write_sets(docs: DataFrame, needed: DataFrame, shards: int, words: int) -> str:
     """The sets that candidates need, as a Store by set id."""
     spark = docs.sparkSession
     wanted, folder = core.shared_folder(spark, "wanted"), core.shared_folder(spark, "sets")
@@ -401,7 +407,7 @@ def write_sets(docs: DataFrame, needed: DataFrame, shards: int) -> str:
             return as_batch([{"shard": k, "c0": np.array([s for s, _ in v], np.uint64).tobytes(), "c1": np.array([len(u) for _, u in v], np.uint32).tobytes(), "c2": b"".join(u.tobytes() for _, u in v)} for k, v in by.items()], 3)
 
         for b in batches:
-            for u in sets(b.column(0)):
+            for u in sets(b.column(0), words):
                 if len(u) and (s := set_id(u)) not in seen and has(s):
                     seen.add(s)
                     parts.append((s, u))
@@ -427,18 +433,18 @@ def one_set(store: tokens.Store, s) -> np.ndarray:
     return ids[int(ends[at - 1]) if at else 0 : int(ends[at])]
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     if len(x) < len(y):
         x, y = y, x
     both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def as_edges(x, y) -> pa.Table:
     return pa.table({"a": pa.array(np.array(x, np.uint64).view(np.int64)), "b": pa.array(np.array(y, np.uint64).view(np.int64))})
 
 
-def verified(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
+def verified(pairs: DataFrame, folder: str, shards: int, percent: int) -> DataFrame:
     """Linked pairs (a, b) among blocks of candidate pairs."""
 
     def run(group):
@@ -447,7 +453,7 @@ def verified(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
         for x, y in pairs:
             if x != last:
                 last, own = x, np.array(one_set(store, x))
-            if linked(own, one_set(store, y)):
+            if linked(own, one_set(store, y), percent):
                 out.append((x, y))
         return as_edges([x for x, _ in out], [y for _, y in out])
 
@@ -477,7 +483,7 @@ def write_labels(labels: DataFrame, shards: int) -> str:
     return folder
 
 
-def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shards: int) -> DataFrame:
+def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shards: int, percent: int) -> DataFrame:
     """Links between different components among the sets of each large key."""
 
     def roots(s: np.ndarray, maps: dict) -> np.ndarray:
@@ -525,7 +531,7 @@ def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shar
                         both = np.add.reduceat(mark[code], starts)
                         mark[own] = 0
                         tested[int(s[x])] = s if done is None else np.union1d(done, s)
-                        hit = np.flatnonzero((100 * both >= PERCENT * (n + n[x] - both)) & (place != place[x]))
+                        hit = np.flatnonzero((100 * both >= percent * (n + n[x] - both)) & (place != place[x]))
                         if len(hit):  # one link to each component that it touches
                             _, one = np.unique(place[hit], return_index=True)
                             found += [(s[x], s[y]) for y in hit[one]]
@@ -534,22 +540,24 @@ def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shar
     return spark.range(0, shards, 1, shards).mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id for every row of docs."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """key, n_shingles, component_id for every row of docs; k words a shingle, links from `percent` on, 80 at least."""
+    if not 80 <= percent <= 100:
+        raise ValueError("index keys meet only from 80 percent on")
     spark = docs.sparkSession
     core.ship(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     facts_at, lists = core.shared_folder(spark, "facts"), core.shared_folder(spark, "lists")
-    entries = index_entries(rows, frequent_tokens(rows, shards), shards, facts_at)
+    entries = index_entries(rows, frequent_tokens(rows, shards, k), shards, facts_at, k, percent)
     sketches = core.shared_folder(spark, "sketches")
-    found = core.materialise(candidates(entries, lists, sketches, shards), "candidates")
-    left = core.materialise(sieved(found.filter(F.col("shard") < shards), sketches, shards), "sieved")
+    found = core.materialise(candidates(entries, lists, sketches, shards, percent), "candidates")
+    left = core.materialise(sieved(found.filter(F.col("shard") < shards), sketches, shards, percent), "sieved")
     need = left.filter(F.col("shard") >= shards).unionByName(found.filter(F.col("shard") >= shards)).select("shard", "c0")
-    sets_at = write_sets(rows, need, shards)
-    first = core.materialise(verified(left.filter(F.col("shard") < shards), sets_at, shards), "links")
+    sets_at = write_sets(rows, need, shards, k)
+    first = core.materialise(verified(left.filter(F.col("shard") < shards), sets_at, shards, percent), "links")
     stars = cc.components(first)
-    more = core.materialise(still_apart(spark, lists, sets_at, write_labels(stars, shards), shards), "links")
+    more = core.materialise(still_apart(spark, lists, sets_at, write_labels(stars, shards), shards, percent), "links")
     if more.limit(1).count():
         stars = cc.components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     for used in (lists, sets_at, sketches):
@@ -569,7 +577,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; documents without words stay, and rows without an id."""
-    found = core.materialise(join(docs), "groups")
+    found = core.materialise(join(docs, k=STAGE_K, percent=STAGE_PERCENT), "groups")
     gone = found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -455,5 +456,35 @@ def test_keys_meet():
             assert jaccard.may_link(jaccard.sketch(x), jaccard.sketch(y))
 
 
+def test_keys_meet_at_80_percent():
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 320))
+        pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+        x = np.sort(rng.choice(pool, n, replace=False))
+        more = int(rng.integers(0, n // 4 + 1))
+        y = np.sort(rng.permutation(x)[: n - int(rng.integers(0, n // 9 + 1))]) if rng.random() < 0.5 else np.union1d(x, rng.choice(pool, more))
+        if jaccard.linked(x, y, 80) and not np.array_equal(x, y):
+            marks = set(rng.choice(pool, int(len(pool) * rng.random() ** 0.3)).tolist()) if rng.random() < 0.7 else set(pool.tolist())
+            mask = lambda s, marks=marks: np.array([int(t) in marks for t in s], bool)
+            assert np.intersect1d(jaccard.keys(x, mask(x), 80), jaccard.keys(y, mask(y), 80)).size
+            assert jaccard.may_link(jaccard.sketch(x), jaccard.sketch(y), 80)
+            met += 1
+    assert met > 500
+
+
+def test_near_duplicate_stage_is_five_words_at_80_percent(spark):
+    words = [f"w{j}" for j in range(96)]  # two changes: 82 of 102 shingles of five words, 85 of 101 of four
+    near = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+    far = [*words[:20], "p", *words[21:45], "q", *words[46:70], "r", *words[71:]]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(far), "en", "s", 1)]
+    a, b, c = (next(jaccard.sets(pa.array([r[1]]), 5)) for r in rows)
+    assert jaccard.linked(a, b, 80) and not jaccard.linked(a, c, 80) and not jaccard.linked(b, c, 80)
+    assert not jaccard.linked(*(next(jaccard.sets(pa.array([r[1]]))) for r in rows[:2]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    assert sorted(r["doc_id"] for r in jaccard.stage(spark, docs, "").collect()) == [1, 3]
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
