@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import spaces
 from ..runtime import ship
 
-MAX_ERROR, LAT_EPSILON = 0.125, 1e-9
+MAX_ERROR, LAT_EPSILON, LEAST_SIDE = 0.125, 1e-9, 1 / 16
 
 VERTICES = "z int, x int, y int, i int, hi_x float, hi_y float, lo_x float, lo_y float, u double, v double, error double"
 
@@ -30,10 +30,11 @@ def clamp_rows(top: Column, bottom: Column, max_lat: float = spaces.MAX_LAT) ->
     return {"v_top": F.when(needed, a), "v_bottom": F.when(needed, b)}
 
 
-def refine(width: int, height: int, forward: Callable, inverse: Callable, max_error: float = MAX_ERROR, v_range: tuple[float, float] = (0.0, 1.0), most: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
+def refine(width: int, height: int, forward: Callable, inverse: Callable, max_error: float = MAX_ERROR, v_range: tuple[float, float] = (0.0, 1.0)) -> tuple[np.ndarray, np.ndarray, float]:
     """Vertices (u, v) and triangles on a tile's corner grid, split at the worst sample until none is off by max_error source pixels.
 
     forward maps pixels to the target plane, inverse back; the error is how far the linear blend lands in pixels.
+    A warp that jumps is off by the jump however fine the mesh is: a ValueError, once a side is shorter than LEAST_SIDE pixels.
     """
     uv = [(0.0, v_range[0]), (1.0, v_range[0]), (0.0, v_range[1]), (1.0, v_range[1])]
     where = {p: i for i, p in enumerate(uv)}
@@ -61,11 +62,13 @@ def refine(width: int, height: int, forward: Callable, inverse: Callable, max_er
 
     push((0, 1, 2))
     push((1, 3, 2))
-    while -heap[0][0] > max_error and len(uv) < most:
+    while not -heap[0][0] <= max_error:
         # the longest side in pixels is halved, on both of its triangles, so no crack opens
         _, t, _ = heapq.heappop(heap)
         sides = [(t[i], t[(i + 1) % 3]) for i in range(3)]
         a, b = max(sides, key=lambda s: ((uv[s[0]][0] - uv[s[1]][0]) * width) ** 2 + ((uv[s[0]][1] - uv[s[1]][1]) * height) ** 2)
+        if np.hypot((uv[a][0] - uv[b][0]) * width, (uv[a][1] - uv[b][1]) * height) < LEAST_SIDE:
+            raise ValueError(f"the mesh can't hold an error of {max_error} pixels: the warp jumps near {uv[a]}")
         mid = ((uv[a][0] + uv[b][0]) / 2, (uv[a][1] + uv[b][1]) / 2)
         m = where.setdefault(mid, len(uv))
         if m == len(uv):

@@ -185,6 +185,13 @@ def test_mesh_error_bound():
     assert area == pytest.approx(1.0)
 
 
+def test_mesh_of_a_warp_that_jumps():
+    same = lambda x, y: (np.asarray(x), np.asarray(y))
+    jump = lambda x, y: (np.asarray(x) + 5 * (np.asarray(x) + np.asarray(y) > 5.3), np.asarray(y))
+    with pytest.raises(ValueError, match="jumps"):
+        mesh.refine(8, 8, same, jump)
+
+
 def test_retry_and_fold():
     tiles, fails = {}, frozenset({"a"})
     log = [frames.step(tiles, f, now, ["a"], {}, 6, 1 << 30, 100, fails=fails)["loads"] for f, now in enumerate([0, 500, 1000, 1500, 2900, 3000, 9000])]
