@@ -33,20 +33,9 @@ K, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 PART_ITEMS, PART_BYTES = 20_000, 16 << 20
 
-_BETWEEN = np.ones(256, bool)
-_BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BITS = np.arange(64, dtype=np.uint64)
 
 
-def plain_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes without punctuation, letters of Latin-1 in lower case too."""
-    upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    if len(upper):
-        data = data.copy()
-        data[upper] += 0x20
-    return core.word_hashes(data, off, _BETWEEN)
-
-
 def signs(s: np.ndarray) -> np.ndarray:
     return ((s[:, None] >> _BITS) & np.uint64(1)).astype(np.float64) * 2 - 1
 
@@ -62,7 +51,7 @@ class Items:
         raw = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
         sets, words = [], []
         for x in raw:
-            h = plain_hashes(x, np.array([0, len(x)]))[0] if len(x) else np.zeros(0, np.uint64)
+            h = core.plain_hashes(x, np.array([0, len(x)]))[0] if len(x) else np.zeros(0, np.uint64)
             words.append(len(h))
             sets.append(core.shingles(h, K))
         keep = [i for i, n in enumerate(words) if n]
@@ -189,7 +178,7 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                     data, off = core.string_buffers(b.column(1))
                     for i, j in core.blocks(off):
                         block, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                        h, first = plain_hashes(block, own)
+                        h, first = core.plain_hashes(block, own)
                         for x in documents_with_hits(items, h, first):
                             doc = b.column(0)[i + x].as_py()
                             for item, similarity, start, words, bits in items.matches(h[first[x] : first[x + 1]]):

@@ -113,7 +113,7 @@ def blocks_of(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int) -> p
     for s in np.flatnonzero(np.diff(cut)):
         at = order[cut[s] : cut[s + 1]]
         rows.append({"shard": int(s), "k": core.planes(np.diff(k[at], prepend=np.uint64(0))), "c": core.planes(c[at].astype("<u4"))})
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("c", pa.binary())]))
+    return pa.RecordBatch.from_pylist(rows, schema=SHAPE)
 
 
 def summed(group) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +122,7 @@ def summed(group) -> tuple[np.ndarray, np.ndarray]:
 
 
 BLOCKS = "shard int, k binary, c binary"
+SHAPE = pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("c", pa.binary())])
 
 
 class Words:

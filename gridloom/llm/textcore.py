@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ _CODE = _LOWER.astype(np.uint64) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
+#: What ends a word where only letters, digits and non-ASCII bytes count.
+PLAIN = np.ones(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Bytes of files that a process keeps in memory where they can't be mapped, and files that it keeps open.
+KEPT_BYTES, KEPT_FILES = 256 << 20, 4096
+_files: OrderedDict[tuple, np.ndarray | None] = OrderedDict()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +115,20 @@ def word_hash(word: bytes) -> int:
     return int(word_hashes(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0])
 
 
-def hashed_rows(column, most: int = BLOCK_BYTES):
+def plain_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes without punctuation, letters of Latin-1 in lower case too."""
+    upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    if len(upper):
+        data = data.copy()
+        data[upper] += 0x20
+    return word_hashes(data, off, PLAIN)
+
+
+def hashed_rows(column, most: int = BLOCK_BYTES, hashes=word_hashes):
     """Blocks (row a, row b, hashes, first) of a string column."""
     data, off = string_buffers(column)
     for a, b in blocks(off, most):
-        h, first = word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        h, first = hashes(data[off[a] : off[b]], off[a : b + 1] - off[a])
         yield a, b, h, first
 
 
@@ -179,17 +195,31 @@ def put_file(uri: str, *parts) -> None:
     draft = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as out:
         for x in parts:
-            out.write(memoryview(x).cast("B") if len(x) else b"")
+            out.write(memoryview(x).cast("B") if memoryview(x).nbytes else b"")
     fs.move(draft, path)
 
 
 def map_file(uri: str, dtype) -> np.ndarray:
-    """A file as an array: memory-mapped where the folder is mounted, else read from its store."""
+    """A file as an array: memory-mapped where the folder is mounted, else read from its store.
+
+    The last used files stay open, KEPT_FILES of them, and of those in memory KEPT_BYTES.
+    """
+    key = uri, np.dtype(dtype).str if np.dtype(dtype).names is None else str(dtype)
+    if key in _files:
+        _files.move_to_end(key)
+        return _files[key]
     fs, path = _from_uri(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        found = np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+    else:
+        with fs.open_input_file(path) as f:
+            found = np.frombuffer(f.read(), dtype)
+    _files[key] = found
+    size = sum(x.nbytes for x in _files.values() if not isinstance(x, np.memmap))
+    while len(_files) > 1 and (len(_files) > KEPT_FILES or size > KEPT_BYTES):
+        old = _files.popitem(last=False)[1]
+        size -= 0 if isinstance(old, np.memmap) else old.nbytes
+    return found
 
 
 def drop_file(uri: str) -> None:
@@ -213,6 +243,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+#: Bytes of input, as stored, for a shard of an index or store.
+SHARD_BYTES = 32 << 20
+
+
+def shards_for(df: DataFrame) -> int:
+    """Shards of what is made from df: one for SHARD_BYTES that Catalyst expects it to read, and as many as shuffles have at least."""
+    spark = df.sparkSession
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // SHARD_BYTES)) if size < 1 << 60 else least  # beyond, the size isn't known
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))

@@ -32,7 +32,11 @@ _loaded: dict = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file, loaded once a process; special tokens' strings in a text are ordinary text."""
+    """The tokenizer of a file, loaded once a process.
+
+    As the vocabulary files' own notes have it, special tokens' strings in a text are ordinary
+    text: a document can't put an end of text into the ids.
+    """
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -186,7 +190,7 @@ def build_store(docs: DataFrame, text: str, encode, kind: str) -> tuple[str, int
     spark = docs.sparkSession
     core.ship(spark)
     folder = core.shared_folder(spark, "pieces")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = core.shards_for(docs.select(text))
 
     def collect(batches):
         found = Distinct()
@@ -219,16 +223,41 @@ def build_store(docs: DataFrame, text: str, encode, kind: str) -> tuple[str, int
     return folder, shards if held else 0
 
 
+class Lookup:
+    """Counts by 64-bit hash, in sorted files of one hash range each."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+
+    @staticmethod
+    def put(folder: str, k: int, h: np.ndarray, n: np.ndarray) -> None:
+        core.put_file(f"{folder}/{k:06d}.n", n.astype("<i8"))
+        core.put_file(f"{folder}/{k:06d}.hash", h)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """Counts of ascending hashes, 0 for those that aren't held."""
+        out = np.zeros(len(h), np.int64)
+        cut = np.searchsorted(shard_of(h, self.shards), np.arange(self.shards + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(cut)):
+            try:
+                own, n = (core.map_file(f"{self.folder}/{k:06d}.{x}", d) for x, d in (("hash", "<u8"), ("n", "<i8")))
+            except FileNotFoundError:
+                continue
+            if len(own):
+                part = h[cut[k] : cut[k + 1]]
+                at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+                out[cut[k] : cut[k + 1]] = np.where(own[at] == part, n[at], 0)
+        return out
+
+
 class Store:
     """The files of build_store, memory-mapped."""
 
     def __init__(self, folder: str, shards: int, dtype):
-        self.folder, self.shards, self.dtype, self.maps = folder, shards, dtype, {}
+        self.folder, self.shards, self.dtype = folder, shards, dtype
 
     def shard(self, k: int):
-        if k not in self.maps:
-            self.maps[k] = tuple(core.map_file(f"{self.folder}/{k:06d}.{x}", d) for x, d in (("hash", "<u8"), ("end", "<i8"), ("ids", self.dtype)))
-        return self.maps[k]
+        return tuple(core.map_file(f"{self.folder}/{k:06d}.{x}", d) for x, d in (("hash", "<u8"), ("end", "<i8"), ("ids", self.dtype)))
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces in order, and the number of ids of each piece."""

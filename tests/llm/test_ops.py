@@ -279,56 +279,131 @@ def test_packing_keeps_every_id(spark, docs, empty):
     assert packing.pack(empty, packing.byte_bpe()).count() == 0
 
 
-def test_packing_searches_the_whole_corpus(spark):
+def packed_by_hand(texts, ids, rounds):
+    """The rounds of packing over pieces shorter than a window, in plain loops."""
+    n = len(texts)
+    sizes = [len(x) + 1 for x in ids]
+    own = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.translate(LOWER)) for t in texts]
+    df = collections.Counter(w for x in own for w in set(x))
+    with_words = [x for x in own if x]
+    mean = sum(map(len, with_words)) / len(with_words)
+    code = {w: core.word_hash(w.encode()) for w in df}
+    heavy = []
+    for x in own:
+        tf = collections.Counter(x)
+        weigh = lambda w, tf=tf, x=x: np.float32(np.log1p((len(with_words) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * (packing.K1 + 1) / (tf[w] + packing.K1 * (1 - packing.B + packing.B * len(x) / mean)))
+        heavy.append(sorted(((-weigh(w), code[w], w) for w in tf if df[w] >= 2))[: packing.TERMS])
+    used, made, sequence, left, count = [0] * n, [], 0, sum(sizes), n
+    for r in range(rounds):
+        if left < packing.WINDOW:
+            break
+        share = min(0.5, packing.SEEDS * left / packing.WINDOW / count)
+        mark = [int(core.mix64(np.array([i], np.uint64) * packing._SEED + np.uint64(r))[0]) for i in range(n)]
+        seed = [(m >> 11) / 2**53 < share for m in mark]
+        lists = collections.defaultdict(list)
+        low = r // 2 % (packing.TERMS // packing.SPAN) * packing.SPAN
+        for i in range(n):
+            if used[i] < sizes[i]:
+                for w, _, x in heavy[i][low : low + packing.SPAN]:
+                    lists[x].append((w, i))
+        score = collections.defaultdict(float)
+        for held in lists.values():
+            held.sort()
+            for k, (w, i) in enumerate(held):
+                if not seed[i]:
+                    for side in (held[:k][::-1], held[k + 1 :]):
+                        for _, j in side:
+                            if seed[j]:
+                                score[i, j] += float(-w)
+                                break
+        best = {}
+        for (i, j), x in score.items():
+            best[i] = min(best.get(i, (np.inf, 0)), (-round(x, 3), j))
+        stood = collections.defaultdict(list)
+        for i, (x, j) in best.items():
+            stood[j].append((x, i))
+        for j in sorted(stood):
+            at, full = sizes[j] - used[j], []
+            for _, i in sorted(stood[j]):
+                if at < packing.WINDOW:
+                    full.append((i, min(sizes[i] - used[i], packing.WINDOW - at), at))
+                    at += full[-1][1]
+            if at < packing.WINDOW:
+                continue
+            for i, k, o in [(j, sizes[j] - used[j], 0), *full]:
+                made.append((i, used[i], k, j, o, r))
+                used[i] += k
+                count -= used[i] == sizes[i]
+            left -= packing.WINDOW
+    return made
+
+
+def test_packing_is_the_stated_rounds(spark):
     rng = np.random.default_rng(11)
-    words = rng.permutation([a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"])
-    rows = [(i, " ".join(rng.choice(words[i % 8 :: 8], int(rng.integers(60, 300))))) for i in range(160)]
+    names = rng.permutation([a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"])
+    texts = [" ".join(rng.choice(names[i % 8 :: 8], int(rng.integers(60, 300)))) for i in range(260)] + ["", "!!"]
+    ids = library_ids("byte_bpe_50k.json", texts)
+    assert max(map(len, ids)) < packing.WINDOW - 1
+    want = packed_by_hand(texts, ids, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = packing.pack(docs, packing.byte_bpe(), rounds=3).collect()
+    windows = collections.defaultdict(set)
+    for r in got:
+        windows[r["sequence_id"]].add((r["doc_id"], r["start"], r["length"], r["offset"]))
+    expected = collections.defaultdict(set)
+    for i, a, k, j, o, r in want:
+        expected[j, r].add((i, a, k, o))
+    assert len({r for *_, r in want}) > 1
+    assert {frozenset(x) for x in expected.values()} <= {frozenset(x) for x in windows.values()}
+    assert sum(r["length"] for r in got) == sum(len(x) + 1 for x in ids)
+
+
+def test_packing_does_not_depend_on_shards(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(rng.choice(WORDS, int(rng.integers(5, 900))))) for i in range(80)] + [(200 + i, "the same text " * 90) for i in range(60)]
     want = None
-    for parts, options in (("2", {}), ("5", {"shard": 16, "seeds": 7, "most": 5})):
+    for parts in ("2", "5"):
         before = spark.conf.get("spark.sql.shuffle.partitions")
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
-            docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(int(parts))
-            got = sorted(tuple(r) for r in packing.pack(docs, packing.byte_bpe(), **options).collect())
+            got = {tuple(r) for r in packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), packing.byte_bpe()).drop("sequence_id").collect()}
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
         assert want is None or got == want
         want = got
 
-    # the greedy pass over the whole corpus, piece by piece
-    pieces = [np.array([*x, packing.END_ID]) for x in library_ids("byte_bpe_50k.json", [t for _, t in rows])]
-    assert max(map(len, pieces)) < packing.WINDOW
-    index, left, made, sequence = packing.Index(pieces), np.array([len(p) for p in pieces]), [], 0
-    while left.sum() >= packing.WINDOW:
-        seed = int(np.flatnonzero(left)[0])
-        score = index.scores(seed)
-        score[seed] = np.inf
-        offset = 0
-        for i in np.lexsort((np.arange(len(score)), -score)):
-            part = min(left[i], packing.WINDOW - offset)
-            if part:
-                made.append((i, len(pieces[i]) - left[i], part, sequence, offset))
-                left[i] -= part
-                offset += part
-        sequence += 1
-    assert [(d, a, n, s, o) for d, a, n, _, _, s, o in want if s < sequence] == sorted(made)
-
 
 def test_bm25_is_the_formula():
     rng = np.random.default_rng(4)
-    pieces = [rng.integers(0, 30, int(rng.integers(3, 40))).astype(np.uint16) for _ in range(20)]
-    index = packing.Index(pieces)
-    mean = np.mean([len(p) for p in pieces])
-    df = {t: sum(t in p for p in pieces) for t in range(30)}
-    for q in (0, 7):
-        want = []
-        for p in pieces:
-            s = 0.0
-            for t in set(pieces[q].tolist()):
-                tf, idf = (p == t).sum(), max(0.0, math.log((20 - df[t] + 0.5) / (df[t] + 0.5)))
-                s += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(p) / mean)) if tf else 0
-            want.append(s)
-        assert np.allclose(index.scores(q), want, rtol=1e-4)
+    rows = [rng.integers(1, 30, int(rng.integers(3, 40))).astype(np.uint64) for _ in range(20)]
+    df = {t: sum(t in x for x in rows) for t in range(1, 30)}
+    mean = float(np.mean([len(x) for x in rows]))
+    ends, h, w, n = packing.heaviest(np.concatenate(rows), np.repeat(np.arange(20), [len(x) for x in rows]), 20, lambda u: np.array([df[int(t)] for t in u]), 20, mean, 6)
+    for i, x in enumerate(rows):
+        a, z = (ends[i - 1] if i else 0), ends[i]
+        want = {}
+        for t in set(x.tolist()):
+            tf = int((x == t).sum())
+            want[t] = math.log(1 + (20 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+        want = sorted(((v, t) for t, v in want.items() if df[t] >= 2), key=lambda v: -v[0])[:6]
+        assert w[a:z].tolist() == pytest.approx([v for v, _ in want], rel=1e-5) and n[a:z].tolist() == [df[int(t)] for t in h[a:z]]
+
+
+def test_packing_of_what_is_left():
+    for total in (5, 2047, 2048, 2049, 9999):
+        ends, at = packing.ends_of(total), 0
+        room = collections.defaultdict(list)
+        rng = np.random.default_rng(total)
+        while at < total:
+            size = int(min(total - at, rng.integers(1, 2048)))
+            for a, k, s, o in packing.pieces_of(at, size, total, ends):
+                room[s].append((o, k))
+            at += size
+        assert sum(k for x in room.values() for _, k in x) == total
+        for x in room.values():
+            x.sort()
+            assert [o for o, _ in x] == [0, *itertools.accumulate(k for _, k in x)][:-1]
+            assert (size := sum(k for _, k in x)) == 2048 or size & (size - 1) == 0
 
 
 # --- 6: neighbours --------------------------------------------------------
