@@ -425,7 +425,7 @@ def test_neighbours_against_brute_force(spark):
     odd = [(1000, None, 0), (1100, [0.0] * 12, 0), (1200, [float("nan")] * 12, 0), (1300, [1.0, None] * 6, 0), (1400, [1.0] * 3, 0), rows[5]]
     df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, query_id int")
     got = collections.defaultdict(list)
-    for r in neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0, window=700).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 700, 100))
     y = x.astype(float)
@@ -438,6 +438,28 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.search(df.filter("vec_id in (0, 1)"), F.col("vec_id") % 100 == 0).count() == 1
 
 
+@pytest.mark.parametrize("latent", [5, 64])
+def test_neighbour_recall_over_many_cells(spark, latent):
+    rng = np.random.default_rng(latent)
+    n = 12_000 if latent < 64 else 3000
+    x = (rng.normal(size=(n, latent)) @ rng.normal(size=(latent, 64)) if latent < 64 else rng.normal(size=(n, 64))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    windows, measure = [], neighbours.measured_window
+    neighbours.measured_window = lambda *a: windows.append(measure(*a)) or windows[-1]
+    try:
+        got = neighbours.search(df, F.col("vec_id") % 100 == 0, cell_rows=100).collect()
+    finally:
+        neighbours.measured_window = measure
+    y, hit = x.astype(float), 0
+    for q in range(0, n, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.lexsort((np.arange(n), d))[:10].tolist()))
+    assert hit >= 0.9 * 10 * (n // 100)
+    if latent < 64:  # few dimensions: a query meets a small part of the table
+        assert n // max(100, 4 * windows[0]) > 20 and 2 * windows[0] * neighbours.CURVES < 0.3 * n
+
+
 # --- 7: language ----------------------------------------------------------
 
 
