@@ -89,7 +89,10 @@ class Counter:
 
     def add(self, keys: np.ndarray) -> bool:
         """Whether it is time to hand on."""
-        u, n = np.unique(keys, return_counts=True)
+        return self.add_counted(*np.unique(keys, return_counts=True))
+
+    def add_counted(self, u: np.ndarray, n: np.ndarray) -> bool:
+        """The same for distinct keys in ascending order."""
         self.k.append(u)
         self.c.append(n.astype(np.int64))
         self.size += len(u)
