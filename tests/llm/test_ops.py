@@ -499,6 +499,62 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.search(empty, bench).count() == 0 and decontaminate.search(docs, bench.limit(0)).count() == 0
 
 
+def shingles_by_hand(t, k=5):
+    h = [core.word_hash(w.encode()) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate(LOWER))]
+    return [tuple(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [tuple(h)] if h else []
+
+
+def contaminated_by_hand(rows, bench):
+    """{(document, item): (similarity, first word)}: every window against every item."""
+    code = lambda g: int(core.shingles(np.array(g, np.uint64), 5)[0])
+    items = [(i, [code(g) for g in shingles_by_hand(t)]) for i, t in bench]
+    items = [(i, x) for i, x in items if x]
+    own = {(i.split("/")[0], tuple(x)) for i, x in items}  # a repeated row counts once
+    df = collections.Counter(g for _, x in own for g in set(x))
+    weight = lambda g: math.log1p(len(own) / df[g]) if df[g] else math.log1p(len(own))
+
+    def fingerprint(x):
+        sums = sum(((2 * ((g >> np.arange(64, dtype=object)) & 1) - 1) * weight(g) for g in x), np.zeros(64, object))
+        return sum(1 << b for b in range(64) if sums[b] > 1e-9)
+
+    prints, out = [fingerprint(x) for _, x in items], {}
+    for d, t in rows:
+        x = [code(g) for g in shingles_by_hand(t)]
+        for (i, y), mark in zip(items, prints, strict=True):
+            for a in range(len(x) - len(y) + 1):
+                c, e = collections.Counter(x[a : a + len(y)]), collections.Counter(y)
+                if not c & e:
+                    continue
+                got = sum(weight(g) * n for g, n in (c & e).items()) / sum(weight(g) * n for g, n in (c | e).items())
+                if got >= decontaminate.THRESHOLD and (fingerprint(x[a : a + len(y)]) ^ mark).bit_count() <= decontaminate.RADIUS and got > out.get((d, i), (0, 0))[0] + 1e-12:
+                    out[d, i] = got, a
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    bench = [(i, " ".join(rng.choice(WORDS, int(rng.choice([12, 30, 45]))))) for i in range(24)]
+    bench += [(50, bench[0][1]), (51, bench[1][1] + " and more of it"), (None, bench[2][1]), (None, bench[3][1]), (9, bench[9][1])]
+    rows = []
+    for d in range(120):
+        words_of = bench[d % 24][1].split()
+        for _ in range(int(rng.integers(0, 4))):
+            words_of[int(rng.integers(len(words_of)))] = "changed"
+        rows.append((d if d % 10 else None, " ".join([*rng.choice(WORDS, 8), *words_of, *rng.choice(WORDS, 8)])))
+    named = [(f"{d}/{i}", t) for i, (d, t) in enumerate(rows)]
+    marked = [(f"{b}/{i}", t) for i, (b, t) in enumerate(bench)]
+    want = contaminated_by_hand(named, marked)
+    found = collections.Counter((d.split("/")[0].replace("None", ""), b.split("/")[0].replace("None", ""), round(s, 9), a) for (d, b), (s, a) in want.items())
+    docs, table = frame(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string")
+    for options in ({}, {"part_items": 6}):  # one part, several
+        got = decontaminate.search(docs, table, **options).collect()
+        show = lambda v: "" if v is None else str(v)
+        assert collections.Counter((show(r["doc_id"]), show(r["item_id"]), round(r["similarity"], 9), r["first_word"]) for r in got) == found
+        left = decontaminate.clean(docs, table, **options)
+        assert left.columns == docs.columns
+        assert collections.Counter(r["text"] for r in left.collect()) == collections.Counter(t for n, (_, t) in zip(named, rows, strict=True) if not any(d == n[0] for d, _ in want))
+
+
 # --- 10: n-gram join ------------------------------------------------------
 
 
