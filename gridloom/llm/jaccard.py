@@ -22,7 +22,7 @@ than SMALL sets hold, as far as they are counted.
 
 Keys that several sets hold give candidates, verified on whole sets. Up to
 SMALL sets of a key are compared all with all; a larger key first compares all
-with one of them, and after components are known, only what is still apart.
+with one of them, and after components are known, only what is still apart, in blocks.
 So a group of near copies costs a number of checks in proportion to its size,
 and no link between different components goes unseen.
 
@@ -63,6 +63,8 @@ COUNTED = np.uint64(int(0.3 * 2**64))
 FLUSH = 1_000_000
 #: Tokens whose classes are looked up at a time.
 ASKED = 400_000
+#: Sets of a large key that are compared with others in one go, and those others.
+ASKING, ANSWERING = 128, 1024
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -123,23 +125,25 @@ def may_link(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * n
 
 
+def sorted_file(uri: str) -> np.ndarray:
+    """A file of hashes, empty where none was written."""
+    try:
+        return core.map_file(uri, "<u8")
+    except FileNotFoundError:
+        return np.zeros(0, np.uint64)
+
+
 class Classes:
     """Membership in the sorted files of frequent tokens."""
 
     def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self.maps = folder, shards, {}
+        self.folder, self.shards = folder, shards
 
     def has(self, u: np.ndarray) -> np.ndarray:
         out = np.zeros(len(u), bool)
         cut = np.searchsorted(tokens.shard_of(u, self.shards), np.arange(self.shards + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(cut)):
-            k = int(k)
-            if k not in self.maps:
-                try:
-                    self.maps[k] = core.map_file(f"{self.folder}/{k:06d}", "<u8")
-                except FileNotFoundError:
-                    self.maps[k] = np.zeros(0, np.uint64)
-            if len(f := self.maps[k]):
+            if len(f := sorted_file(f"{self.folder}/{k:06d}")):
                 part = u[cut[k] : cut[k + 1]]
                 out[cut[k] : cut[k + 1]] = f[np.minimum(np.searchsorted(f, part), len(f) - 1)] == part
         return out
@@ -286,7 +290,7 @@ def read_facts(spark: SparkSession, folder: str) -> DataFrame:
     fs, path = core.opened(folder) if "://" in folder else core._from_uri(folder)
     import pyarrow.fs as pafs
 
-    names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if len(x.base_name) == 6)
+    names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.base_name.isdigit())  # not drafts
 
     def load(batches):
         for b in batches:
@@ -388,17 +392,12 @@ def write_sets(docs: DataFrame, needed: DataFrame, shards: int, words: int) -> s
     needed.groupBy("shard").applyInArrow(list_ids, "shard int").count()
 
     def run(batches):
-        lists, seen, parts, size = {}, set(), [], 0
+        seen, parts, size = set(), [], 0
 
         def has(s: int) -> bool:
-            k = int(tokens.shard_of(core.mix64(np.array([s], np.uint64)), shards)[0])
-            if k not in lists:
-                try:
-                    lists[k] = core.map_file(f"{wanted}/{k:06d}", "<u8")
-                except FileNotFoundError:
-                    lists[k] = np.zeros(0, np.uint64)
-            at = int(np.searchsorted(lists[k], np.uint64(s)))
-            return at < len(lists[k]) and int(lists[k][at]) == s
+            held = sorted_file(f"{wanted}/{int(tokens.shard_of(core.mix64(np.array([s], np.uint64)), shards)[0]):06d}")
+            at = int(np.searchsorted(held, np.uint64(s)))
+            return at < len(held) and int(held[at]) == s
 
         def flush():
             by: dict[int, list] = {}
@@ -483,61 +482,70 @@ def write_labels(labels: DataFrame, shards: int) -> str:
     return folder
 
 
-def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shards: int, percent: int) -> DataFrame:
-    """Links between different components among the sets of each large key."""
-
-    def roots(s: np.ndarray, maps: dict) -> np.ndarray:
-        out, k = s.copy(), tokens.shard_of(core.mix64(s), shards)
-        for x in np.unique(k):
-            x = int(x)
-            if x not in maps:
-                try:
-                    maps[x] = tuple(core.map_file(f"{labels}/{x:06d}.{e}", "<u8") for e in ("sid", "root"))
-                except FileNotFoundError:
-                    maps[x] = None
-            if maps[x] is not None:
-                ids, root = maps[x]
-                mine = np.flatnonzero(k == x)
-                at = np.minimum(np.searchsorted(ids, s[mine]), len(ids) - 1)
-                hit = ids[at] == s[mine]
-                out[mine[hit]] = root[at[hit]]
-        return out
+def roots(s: np.ndarray, labels: str, shards: int) -> np.ndarray:
+    """The component of each set id."""
+    out, k = s.copy(), tokens.shard_of(core.mix64(s), shards)
+    for x in np.unique(k):
+        ids, root = (sorted_file(f"{labels}/{x:06d}.{e}") for e in ("sid", "root"))
+        if len(ids):
+            mine = np.flatnonzero(k == x)
+            at = np.minimum(np.searchsorted(ids, s[mine]), len(ids) - 1)
+            hit = ids[at] == s[mine]
+            out[mine[hit]] = root[at[hit]]
+    return out
 
-    def run(batches):
+
+def still_apart(spark: SparkSession, lists: str, sets_at: str, sketches: str, labels: str, shards: int, percent: int) -> DataFrame:
+    """Links between different components among the sets of each large key.
+
+    What the largest component of a key has apart from it is compared with all of the key, in
+    blocks of ASKING by ANSWERING sets, each a row of its own that any task can take. Keys that hold
+    the same sets are compared once.
+    """
+
+    def listed(batches):
         for b in batches:
             for shard in b.column(0).to_pylist():
-                try:
-                    key, sid = (core.map_file(f"{lists}/{shard:06d}.{e}", "<u8") for e in ("key", "sid"))
-                except FileNotFoundError:
-                    continue
-                store, maps, tested, found = tokens.opened_store(sets_at, shards, "<u8"), {}, {}, []
-                a, z = groups(key)
-                for i, j in zip(a, z, strict=True):
+                key, sid = (sorted_file(f"{lists}/{shard:06d}.{e}") for e in ("key", "sid"))
+                rows = []
+                for i, j in zip(*groups(key), strict=True):
                     s = np.array(sid[i:j])
-                    root = roots(s, maps)
-                    names, place, counts = np.unique(root, return_inverse=True, return_counts=True)
-                    if len(names) < 2:
-                        continue
-                    whole = [np.array(one_set(store, x)) for x in s]
-                    n = np.array([len(x) for x in whole])
-                    code = np.unique(np.concatenate(whole), return_inverse=True)[1]
-                    starts = np.cumsum(n) - n
-                    mark = np.zeros(int(code.max()) + 1, np.int64)
-                    for x in np.flatnonzero(place != int(counts.argmax())):  # what the largest component has apart from it
-                        own = code[starts[x] : starts[x] + n[x]]
-                        if (done := tested.get(int(s[x]))) is not None and np.isin(s, done).all():
+                    places, counts = np.unique(roots(s, labels, shards), return_inverse=True, return_counts=True)[1:]
+                    if len(counts) > 1:
+                        rows.append((set_id(s) >> 1, shard, int(i), int(j), int((places != int(counts.argmax())).sum())))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["mark", "shard", "a", "z", "n"])
+
+    def compared(batches):
+        for b in batches:
+            store, sieve = tokens.opened_store(sets_at, shards, "<u8"), tokens.Store(sketches, shards, np.uint8)
+            left, right = [], []
+            for shard, i, j, x, y in zip(*(b.column(c).to_pylist() for c in ("shard", "a", "z", "x", "y")), strict=True):
+                s = np.array(core.map_file(f"{lists}/{shard:06d}.sid", "<u8")[i:j])
+                root = roots(s, labels, shards)
+                names, place, counts = np.unique(root, return_inverse=True, return_counts=True)
+                asking = np.flatnonzero(place != int(counts.argmax()))[x : x + ASKING]
+                answering = np.arange(len(s))[y : y + ANSWERING]
+                tables = [np.array(one_set(sieve, s[v])) for v in answering]
+                held: dict[int, np.ndarray] = {}
+                for u in asking:
+                    own, mine, met = np.array(one_set(sieve, s[u])), None, set()
+                    for v, table in zip(answering, tables, strict=True):
+                        if place[v] in met or place[v] == place[u] or not may_link(own, table, percent):
                             continue
-                        mark[own] = 1
-                        both = np.add.reduceat(mark[code], starts)
-                        mark[own] = 0
-                        tested[int(s[x])] = s if done is None else np.union1d(done, s)
-                        hit = np.flatnonzero((100 * both >= percent * (n + n[x] - both)) & (place != place[x]))
-                        if len(hit):  # one link to each component that it touches
-                            _, one = np.unique(place[hit], return_index=True)
-                            found += [(s[x], s[y]) for y in hit[one]]
-                yield from as_edges([x for x, _ in found], [y for _, y in found]).to_batches()
+                        mine = np.array(one_set(store, s[u])) if mine is None else mine
+                        if v not in held:
+                            held[v] = np.array(one_set(store, s[v]))
+                        if linked(mine, held[v], percent):  # one link to each component is enough
+                            met.add(place[v])
+                            left.append(s[u])
+                            right.append(s[v])
+            yield from as_edges(left, right).to_batches()
 
-    return spark.range(0, shards, 1, shards).mapInArrow(run, "a bigint, b bigint")
+    keys = spark.range(0, shards, 1, shards).mapInArrow(listed, "mark bigint, shard bigint, a bigint, z bigint, n bigint")
+    one = core.materialise(keys.groupBy("mark").agg(F.min(F.struct("shard", "a", "z", "n")).alias("k")).select("k.*"), "apart")
+    blocks = one.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(ASKING)))).withColumn("y", F.explode(F.expr(f"sequence(0, z - a - 1, {ANSWERING})")))
+    return blocks.repartition(shards, F.xxhash64("shard", "a", "x", "y")).mapInArrow(compared, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -546,10 +554,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
         raise ValueError("index keys meet only from 80 percent on")
     spark = docs.sparkSession
     core.ship(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
+    shards = core.shards_for(rows)
     facts_at, lists = core.shared_folder(spark, "facts"), core.shared_folder(spark, "lists")
-    entries = index_entries(rows, frequent_tokens(rows, shards, k), shards, facts_at, k, percent)
+    classes = frequent_tokens(rows, shards, k)
+    entries = index_entries(rows, classes, shards, facts_at, k, percent)
     sketches = core.shared_folder(spark, "sketches")
     found = core.materialise(candidates(entries, lists, sketches, shards, percent), "candidates")
     left = core.materialise(sieved(found.filter(F.col("shard") < shards), sketches, shards, percent), "sieved")
@@ -557,12 +566,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     sets_at = write_sets(rows, need, shards, k)
     first = core.materialise(verified(left.filter(F.col("shard") < shards), sets_at, shards, percent), "links")
     stars = cc.components(first)
-    more = core.materialise(still_apart(spark, lists, sets_at, write_labels(stars, shards), shards, percent), "links")
+    labels = write_labels(stars, shards)
+    more = core.materialise(still_apart(spark, lists, sets_at, sketches, labels, shards, percent), "links")
     if more.limit(1).count():
         stars = cc.components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    for used in (lists, sets_at, sketches):
-        core.drop_folder(used)
     facts = core.materialise(read_facts(spark, facts_at), "facts")
+    for used in (lists, sets_at, sketches, labels, classes, facts_at):
+        core.drop_folder(used)
     own = facts.filter("n > 0").groupBy("sid").agg(F.min("id").alias("low")).join(stars.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = own.join(lowest, "root").select("sid", "component_id")

@@ -1,19 +1,21 @@
 """Toxicity by a subsequence-kernel support vector machine with Nystroem landmarks.
 
-The gap-weighted kernel k(x, z) sums over common subsequences of LENGTH letters,
-each weighted by DECAY to the power of the spans it takes in x and in z, so
+The gap-weighted kernel k(x, z) sums over common subsequences of LENGTH letters that skip at most
+GAP characters between two of them, each weighted by DECAY to the power of the spans it takes in x and in z, so
 inserted characters and gaps lower a match and don't destroy it. Landmarks are
 strings that many labelled toxic texts hold and clean ones hardly ever. A segment's features are
 min(1, k(x, z) / k(z, z)), whitened by the landmarks' normalised kernel matrix
 (Nystroem); a linear support vector machine over them is trained on segments of
 the labelled texts, and on these with gaps put in. A text scores as its worst segment, made a
-probability by a rising fit on the labelled texts.
+probability by a rising fit on labelled texts that the machine behind their scores didn't see: each of FOLDS parts is
+scored by a machine of the others.
 
 Segments are words, and runs of words of one or two letters as one string, as in "i d i o t".
-Digits that stand for letters count as those. A word of over WIDTH characters is read in
-overlapping windows. Only segments with three letter pairs, up to two characters apart
-each, in common with a toxic landmark are compared; others have features 0. Every distinct segment of
-the corpus is scored once, and texts look their segments up.
+Digits that stand for letters count as those. A segment of over WIDTH characters is read in
+windows of that width, STRIDE apart, so any WIDTH - STRIDE neighbouring characters are in one of them. The
+kernel is 0 where there is no such subsequence; whether there is one is found for all landmarks at
+once in bit vectors, and only those pairs are summed. Every distinct segment of
+the corpus is scored once, and texts look their segments up. Kernels of the fit run as Spark tasks too.
 
 Defined cases: a null text counts as empty; an empty text has the score of a text without any
 match. Repeated label rows of an id count once, with their largest label; null labels don't
@@ -28,6 +30,7 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +39,10 @@ from pyspark.sql import functions as F
 from . import textcore as core
 from . import tokens
 
-LENGTH, DECAY, WIDTH = 4, 0.8, 24
+LENGTH, GAP, DECAY, WIDTH, STRIDE = 4, 2, 0.8, 32, 8
 #: Bounds of the fit: toxic and clean rows, landmarks (at most 64), training segments.
 TOXIC_ROWS, CLEAN_ROWS, LANDMARKS, SEGMENTS = 1500, 3000, 48, 8000
-SHORTEST, LONGEST = 4, 10
+SHORTEST, LONGEST, FOLDS = 4, 10, 4
 CUTOFF = 0.7
 
 # Digits and signs that stand for letters.
@@ -75,9 +78,9 @@ def windows(w: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     code = np.insert(code, np.stack([a, z], axis=1).ravel(), np.tile(_ENDS, len(starts)))
     a, z = a + 2 * i, z + 2 * i + 2
     size = z - a
-    count = np.where(size > WIDTH, -(-(size - WIDTH) // (WIDTH // 2)) + 1, 1)
+    count = np.where(size > WIDTH, -(-(size - WIDTH) // STRIDE) + 1, 1)
     owner = np.repeat(np.arange(len(starts)), count)
-    first = a[owner] + tokens.ragged(np.zeros(len(starts), np.int64), count) * (WIDTH // 2)
+    first = a[owner] + tokens.ragged(np.zeros(len(starts), np.int64), count) * STRIDE
     at = first[:, None] + np.arange(WIDTH)
     ok = at < z[owner][:, None]
     return np.where(ok, code[np.minimum(at, len(code) - 1)], 0).astype(np.uint8), owner
@@ -100,23 +103,54 @@ def ended(word: str) -> str:
     return START + re.sub(r"^[\W_]+|[\W_]+$", "", word) + STOP
 
 
+def pairs(x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, landmark) of all pairs with k(x, z) > 0; landmarks have 31 letters at most."""
+    match = np.zeros((256, len(z)), np.uint32)  # bits of the places in a landmark that hold a letter
+    for t in range(z.shape[1]):
+        match[z[:, t], np.arange(len(z))] |= np.uint32(1 << t)
+    match[0] = 0
+    none, found = np.zeros((len(x), len(z)), np.uint32), np.zeros((len(x), len(z)), np.uint32)
+    reach = [[none] * (GAP + 1) for _ in range(LENGTH - 1)]  # by length and letters back: places that may come next
+    for j in range(int((x > 0).any(axis=0).nonzero()[0].max(initial=-1)) + 1):
+        ends = match[x[:, j]]
+        for r in range(LENGTH - 1):
+            before = reach[r][0] | reach[r][1] | reach[r][2]
+            reach[r] = [(ends << 1) | (ends << 2) | (ends << 3), *reach[r][:GAP]]
+            ends = match[x[:, j]] & before
+        found |= ends
+    return np.nonzero(found)
+
+
 def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """k(x, z) for code matrices (rows, any width) and (landmarks, any width): (rows, landmarks)."""
-    rows, marks, width = len(x), len(z), z.shape[1]
-    total = np.zeros((rows, marks), np.float32)
-    last = [np.zeros((width + 1, rows, marks), np.float32) for _ in range(LENGTH)]  # prefix sums by landmark position
-    for j in range(int((x > 0).any(axis=0).nonzero()[0].max(initial=-1)) + 1):
-        c = x[:, j][:, None]
-        new = [np.zeros((width + 1, rows, marks), np.float32) for _ in range(LENGTH)]
-        for t in range(width):
-            same = (c == z[:, t]) & (c > 0)
-            for i in range(LENGTH):
-                m = same * (DECAY * DECAY) if i == 0 else same * (DECAY * DECAY) * last[i - 1][t]
-                if i == LENGTH - 1:
-                    total += m
-                else:
-                    new[i][t + 1] = m + DECAY * last[i][t + 1] + DECAY * new[i][t] - DECAY * DECAY * last[i][t]
-        last = new
+    out = np.zeros((len(x), len(z)), np.float32)
+    for low in range(0, len(x), 2048):
+        row, mark = pairs(x[low : low + 2048], z)
+        for a in range(0, len(row), 8192):
+            r, m = row[a : a + 8192], mark[a : a + 8192]
+            out[low + r, m] = summed(x[low + r], z[m])
+    return out
+
+
+def summed(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """k(x, z) of rows of x with rows of z, side by side."""
+    width = int((z > 0).any(axis=0).nonzero()[0].max(initial=-1)) + 1
+    x, z = np.ascontiguousarray(x.T), np.ascontiguousarray(z.T[:width])
+    total, square, decay = np.zeros(x.shape[1], np.float32), np.float32(DECAY * DECAY), np.float32(DECAY)
+    none = np.zeros((width, x.shape[1]), np.float32)
+    reach = [[none] * (GAP + 1) for _ in range(LENGTH - 1)]  # as in pairs: sums by the place that comes next
+    for j in range(int((x > 0).any(axis=1).nonzero()[0].max(initial=-1)) + 1):
+        same = np.where((z == x[j]) & (z > 0), square, np.float32(0))
+        ends = same
+        for r in range(LENGTH - 1):
+            before = reach[r][0] + decay * (reach[r][1] + decay * reach[r][2])
+            next_to = np.zeros_like(none)
+            next_to[1:] = ends[:-1]
+            next_to[2:] += decay * ends[:-2]
+            next_to[3:] += square * ends[:-3]
+            reach[r] = [next_to, *reach[r][:GAP]]
+            ends = same * before
+        total += ends.sum(axis=0)
     return total
 
 
@@ -124,29 +158,13 @@ def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
 class Model:
     marks: np.ndarray  # codes of landmarks
     own: np.ndarray  # k(z, z)
-    pairs: np.ndarray  # (256, 256) masks of the landmarks that hold a pair of neighbouring letters
     weights: np.ndarray  # on min(1, k / own)
     bias: float
     knots: tuple[np.ndarray, np.ndarray]  # decision -> probability
 
     def segments(self, x: np.ndarray) -> np.ndarray:
         """Decision values of code rows."""
-        out = np.full(len(x), self.bias, np.float32)
-        for a in range(0, len(x), 65536):
-            part = x[a : a + 65536]
-            once, twice, thrice = (np.zeros(len(part), np.uint64) for _ in range(3))
-            for d in (1, 2, 3):
-                for j in range(WIDTH - d):
-                    m = self.pairs[part[:, j], part[:, j + d]]
-                    thrice |= twice & m
-                    twice |= once & m
-                    once |= m
-            near = np.flatnonzero(thrice)
-            for b in range(0, len(near), 2048):
-                at = near[b : b + 2048]
-                f = np.minimum(kernel(part[at], self.marks) / self.own, 1)
-                out[a + at] = f @ self.weights + self.bias
-        return out
+        return features(x, self.marks, self.own) @ self.weights + np.float32(self.bias)
 
     def probability(self, worst: np.ndarray) -> np.ndarray:
         """Of a text by its worst segment; a hundredth of it rises throughout, to rank texts of one pool."""
@@ -155,6 +173,10 @@ class Model:
         return 0.99 * np.interp(worst, *self.knots) + 0.01 / (1 + np.exp(-np.clip(worst, -30, 30)))
 
 
+def features(x: np.ndarray, marks: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return np.minimum(kernel(x, marks) / own, 1).astype(np.float32)
+
+
 def prepared(texts: list[str]) -> tuple[list[str], list[list[int]]]:
     """Distinct segments of texts, and per text the indexes of its own."""
     index, rows = {}, []
@@ -203,9 +225,14 @@ def landmarks(words: list[str], rows: list[list[int]], toxic: np.ndarray, kin: n
     enriched = [w for w, d in held.items() if bad[w] >= 2 and (bad[w] + 0.5) / n_toxic > 8 * (len(d) - bad[w] + 0.5) / n_clean]
     parts = lambda word: {p[i : i + k] for p in re.findall(r"[^\W_\x02\x03]*[\x02\x03]?[^\W_\x02\x03]+[\x02\x03]?", ended(word)) for k in range(SHORTEST, LONGEST + 1) for i in range(len(p) - k + 1)}
     wanted = set().union(*(parts(words[w]) for w in enriched)) if enriched else set()
-    holders = defaultdict(list)
+    if not wanted:
+        return []
+    finder, holders = ahocorasick.Automaton(), defaultdict(list)
+    for p in wanted:
+        finder.add_word(p, p)
+    finder.make_automaton()
     for w in held:
-        for p in parts(words[w]) & wanted:
+        for p in {p for _, p in finder.iter(ended(words[w]))}:
             holders[p].append(w)
     least, gone = max(5, 0.01 * n_toxic), set()
 
@@ -268,47 +295,92 @@ def gapped(word: str, rng) -> str:
     return word[:at] + ("x" if how == 1 else str(rng.choice([".", "-", "*"]))) + word[at:]
 
 
-def fit(texts: list[str], toxic: np.ndarray, each: float = 1.0) -> Model:
-    """The model of labelled texts; each: how many rows of the corpus a clean one stands for."""
-    share = float(toxic.sum() / (toxic.sum() + each * (~toxic).sum())) if len(toxic) else 0.0
-    none = np.zeros(0)
-    flat = Model(np.zeros((1, WIDTH), np.uint8), np.ones(1, np.float32), np.zeros((256, 256), np.uint64), np.zeros(1, np.float32), share, (none, none))
-    if not toxic.any() or toxic.all():
-        return flat
-    words, rows = prepared(texts)
-    bad = landmarks(words, rows, toxic, copies(texts), each)
-    if not bad:
-        return flat
-    marks = spelled(bad)
+#: Words of a block whose kernels one task computes.
+TASK_WORDS = 20_000
+
+
+def kernel_rows(spark: SparkSession | None, words: list[str], marks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all windows of words, and the word of each; by Spark tasks, or here without a session."""
+    m, owner = as_matrix(words)
+    if spark is None:
+        return features(m, marks, own), owner
+    core.ship(spark)
+    width = m.shape[1]
+    blocks = [(a, m[a : a + TASK_WORDS].tobytes()) for a in range(0, len(m), TASK_WORDS)]
+
+    def run(batches):
+        for b in batches:
+            for a, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = features(np.frombuffer(raw, np.uint8).reshape(-1, width), marks, own)
+                at = np.flatnonzero(found.any(axis=1))  # most segments have no feature
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a], pa.int64()), "at": [at.astype("<i4").tobytes()], "f": [found[at].astype("<f4").tobytes()]})
+
+    rows = spark.createDataFrame(blocks, "a bigint, m binary").repartition(max(1, len(blocks))).mapInArrow(run, "a bigint, at binary, f binary").collect()
+    out = np.zeros((len(m), len(marks)), np.float32)  # of the labelled sample alone
+    for a, at, f in rows:
+        out[a + np.frombuffer(at, "<i4")] = np.frombuffer(f, "<f4").reshape(-1, len(marks))
+    return out, owner
+
+
+def machine(words: list[str], rows: list[list[int]], toxic: np.ndarray, use: np.ndarray, bad: list[str], found: np.ndarray, owner: np.ndarray) -> tuple[Model, np.ndarray]:
+    """The machine of the texts in `use` with landmarks `bad`, and the worst decision of every text; found: features of all words' windows."""
+    at, marks = np.flatnonzero(use), spelled(bad)
     own = np.diag(kernel(marks, marks)).copy()
-    pairs = np.zeros((256, 256), np.uint64)
-    for i, m in enumerate(marks):
-        for a, b in zip(m[:-1], m[1:], strict=True):
-            if a and b:
-                pairs[a, b] |= np.uint64(1) << np.uint64(i)
     gram = kernel(marks, marks) / np.sqrt(np.outer(own, own))
     value, vector = np.linalg.eigh(gram.astype(float))
     white = vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T
     rng = np.random.default_rng(11)
     has = re.compile("|".join(map(re.escape, sorted(bad, key=len, reverse=True))))
-    in_clean = np.zeros(len(words), bool)
-    for i in np.flatnonzero(~toxic):
-        in_clean[rows[i]] = True
-    up = [w for i, w in enumerate(words) if not in_clean[i] and has.search(ended(w))][: SEGMENTS // 4]
+    seen, in_clean = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    for i in at:
+        seen[rows[i]] = True
+        if not toxic[i]:
+            in_clean[rows[i]] = True
+    up = [i for i in np.flatnonzero(seen & ~in_clean) if has.search(ended(words[i]))][: SEGMENTS // 4]
     plain = [w.strip(START + STOP) for w in bad]
-    up += [gapped(w, rng) for w in (plain * (SEGMENTS // 4 // len(bad) + 1))[: SEGMENTS // 4]]
+    made = [gapped(w, rng) for w in (plain * (SEGMENTS // 4 // len(bad) + 1))[: SEGMENTS // 4]]
     clean = np.flatnonzero(in_clean)
-    down = [words[i] for i in rng.choice(clean, min(len(clean), SEGMENTS // 4), replace=False)]
-    m, owner = as_matrix(words)
+    down = rng.choice(clean, min(len(clean), SEGMENTS // 4), replace=False)
+    extra = features(as_matrix(made)[0], marks, own)
+    first, stop = np.searchsorted(owner, np.arange(len(words))), np.searchsorted(owner, np.arange(len(words)), side="right")
+    of = lambda some: tokens.ragged(first[some], (stop - first)[some])
     for _ in range(2):  # the second time with what the first took for toxic in clean texts
-        train, back = as_matrix(up + down)
-        y = np.where(back < len(up), 1.0, -1.0)
-        w = svm(np.minimum(kernel(train, marks) / own, 1) @ white, y)
-        model = Model(marks, own, pairs, (white @ w[:-1]).astype(np.float32), float(w[-1]), (none, none))
+        low = of(down)
+        train = np.concatenate([found[of(np.array(up, np.int64))], extra, found[low]])
+        w = svm(train @ white, np.where(np.arange(len(train)) < len(train) - len(low), 1.0, -1.0))
+        model = Model(marks, own, (white @ w[:-1]).astype(np.float32), float(w[-1]), (np.zeros(0), np.zeros(0)))
         score = np.full(len(words), -np.inf, np.float32)
-        np.maximum.at(score, owner, model.segments(m))
-        down += [words[i] for i in clean[np.argsort(-score[clean], kind="stable")][: SEGMENTS // 4]]
-    worst = np.array([score[r].max() if r else model.bias for r in rows])
+        np.maximum.at(score, owner, found @ model.weights + np.float32(model.bias))
+        down = np.concatenate([down, clean[np.argsort(-score[clean], kind="stable")][: SEGMENTS // 4]])
+    return model, np.array([score[r].max() if r else model.bias for r in rows])
+
+
+def fit(texts: list[str], toxic: np.ndarray, each: float = 1.0, spark: SparkSession | None = None) -> Model:
+    """The model of labelled texts; each: how many rows of the corpus a clean one stands for."""
+    share = float(toxic.sum() / (toxic.sum() + each * (~toxic).sum())) if len(toxic) else 0.0
+    none = np.zeros(0)
+    flat = Model(np.zeros((1, WIDTH), np.uint8), np.ones(1, np.float32), np.zeros(1, np.float32), share, (none, none))
+    if not toxic.any() or toxic.all():
+        return flat
+    (words, rows), kin = prepared(texts), copies(texts)
+    part = core.mix64(kin.astype(np.uint64) + np.uint64(1)) % np.uint64(FOLDS)  # copies of a text stay in one
+    uses = [np.ones(len(texts), bool), *[part != fold for fold in range(FOLDS)]]
+    bad = []
+    for use in uses:
+        at = np.flatnonzero(use)
+        whole = toxic[at].any() and not toxic[at].all()
+        bad.append(landmarks(words, [rows[i] for i in at], toxic[at], kin[at], each) if whole else [])
+    if not bad[0]:
+        return flat
+    every = sorted(set().union(*bad))
+    marks = spelled(every)
+    found, owner = kernel_rows(spark, words, marks, np.diag(kernel(marks, marks)).copy())
+    column = {w: i for i, w in enumerate(every)}
+    fitted = [machine(words, rows, toxic, use, b, found[:, [column[w] for w in b]], owner) if b else None for use, b in zip(uses, bad, strict=True)]
+    model, worst = fitted[0]
+    for fold, other in enumerate(fitted[1:]):
+        if other:
+            worst[part == fold] = other[1][part == fold]
     model.knots = monotone(worst, toxic.astype(float), np.where(toxic, 1.0, each))
     return model
 
@@ -369,7 +441,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = core.table(spark, sf_dir, "documents")
-    found = score(docs, fit(*labelled_sample(docs, core.table(spark, sf_dir, "labels"))))
+    found = score(docs, fit(*labelled_sample(docs, core.table(spark, sf_dir, "labels")), spark))
     held = F.coalesce(core.crc_mod("doc_id", 3) == 1, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 

@@ -235,17 +235,24 @@ def naive_kernel(x, z, p, decay):
     total = 0.0
     for i in itertools.combinations(range(len(x)), p):
         for j in itertools.combinations(range(len(z)), p):
-            if all(x[a] == z[b] for a, b in zip(i, j, strict=True)):
+            near = all(b - a <= toxicity.GAP + 1 for s in (i, j) for a, b in itertools.pairwise(s))
+            if near and all(x[a] == z[b] for a, b in zip(i, j, strict=True)):
                 total += decay ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
     return total
 
 
 def test_subsequence_kernel():
-    x, z = ["gapped", "gaxpped", "other"], ["gapped", "pped"]
+    x, z = ["gapped", "gaxpped", "other", "g.a.p.p.e", "gaaaapped", "papped", "dep"], ["gapped", "pped", "gxaxpxe"]
     code = lambda ws: np.array([[*map(ord, w), *[0] * (10 - len(w))] for w in ws], np.uint8)
     got = toxicity.kernel(code(x), code(z))
     want = [[naive_kernel(a, b, toxicity.LENGTH, toxicity.DECAY) for b in z] for a in x]
     assert np.allclose(got, want, rtol=1e-4)
+    rng = np.random.default_rng(31)
+    x, z = (["".join(rng.choice(list("abcde"), int(rng.integers(1, 10)))) for _ in range(40)] for _ in range(2))
+    want = np.array([[naive_kernel(a, b, toxicity.LENGTH, toxicity.DECAY) for b in z] for a in x])
+    assert np.allclose(toxicity.kernel(code(x), code(z)), want, rtol=1e-4)
+    row, mark = toxicity.pairs(code(x), code(z))
+    assert set(zip(row.tolist(), mark.tolist(), strict=True)) == set(zip(*(v.tolist() for v in np.nonzero(want)), strict=True))
 
 
 def test_toxicity_learns_insults(spark, empty):
@@ -641,6 +648,26 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_large_keys_of_several_components(spark):
+    rng = np.random.default_rng(41)
+    lines = [" ".join(f"{a}{i}" for i in range(9)) for a in "abcdefghij"]
+    rows = [(i, " ".join(lines[j] for j in c)) for i, c in enumerate(itertools.combinations(range(10), 3))]
+    for i in range(40):  # near copies of some
+        t = rows[int(rng.integers(100))][1].split()
+        t[int(rng.choice([0, len(t) - 1]))] = f"x{i}"
+        rows.append((500 + i, " ".join(t)))
+    docs, sizes = frame(spark, rows), []
+    asking, answering, compare = jaccard.ASKING, jaccard.ANSWERING, jaccard.still_apart
+    jaccard.ASKING, jaccard.ANSWERING = 16, 64
+    jaccard.still_apart = lambda *a: sizes.append((edges := core.materialise(compare(*a), "edges")).count()) or edges
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()}
+    finally:
+        jaccard.ASKING, jaccard.ANSWERING, jaccard.still_apart = asking, answering, compare
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 100
+
+
 def test_keys_meet():
     """Any two linked sets share an index key, whatever the classes."""
     rng = np.random.default_rng(8)
