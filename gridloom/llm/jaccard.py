@@ -63,8 +63,8 @@ COUNTED = np.uint64(int(0.3 * 2**64))
 FLUSH = 1_000_000
 #: Tokens whose classes are looked up at a time.
 ASKED = 400_000
-#: Sets of a large key that are compared with others in one go, and those others.
-ASKING, ANSWERING = 128, 1024
+#: Sets of a shard's large keys that one task compares with others, and those others that it holds at a time.
+ASKING, ANSWERING = 512, 4096
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -495,57 +495,67 @@ def roots(s: np.ndarray, labels: str, shards: int) -> np.ndarray:
     return out
 
 
-def still_apart(spark: SparkSession, lists: str, sets_at: str, sketches: str, labels: str, shards: int, percent: int) -> DataFrame:
+def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shards: int, percent: int) -> DataFrame:
     """Links between different components among the sets of each large key.
 
-    What the largest component of a key has apart from it is compared with all of the key, in
-    blocks of ASKING by ANSWERING sets, each a row of its own that any task can take. Keys that hold
-    the same sets are compared once.
+    What the largest component of a key has apart from it asks all of the key. A shard's asking sets are
+    dealt into parts of about ASKING, each a row of its own that any task can take, and a task holds
+    ANSWERING whole sets at a time.
     """
 
+    def keys_of(shard: int):
+        """(sets, their components by number, what asks) of the shard's large keys with several components."""
+        key, sid = (sorted_file(f"{lists}/{shard:06d}.{e}") for e in ("key", "sid"))
+        for i, j in zip(*groups(key), strict=True):
+            s = np.array(sid[i:j])
+            place, counts = np.unique(roots(s, labels, shards), return_inverse=True, return_counts=True)[1:]
+            if len(counts) > 1:
+                yield s, place, np.flatnonzero(place != int(counts.argmax()))
+
+    def part_of(s: np.ndarray, parts: int) -> np.ndarray:
+        return core.mix64(s ^ _PAIR) % np.uint64(parts)
+
     def listed(batches):
         for b in batches:
             for shard in b.column(0).to_pylist():
-                key, sid = (sorted_file(f"{lists}/{shard:06d}.{e}") for e in ("key", "sid"))
-                rows = []
-                for i, j in zip(*groups(key), strict=True):
-                    s = np.array(sid[i:j])
-                    places, counts = np.unique(roots(s, labels, shards), return_inverse=True, return_counts=True)[1:]
-                    if len(counts) > 1:
-                        rows.append((set_id(s) >> 1, shard, int(i), int(j), int((places != int(counts.argmax())).sum())))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["mark", "shard", "a", "z", "n"])
+                asking = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[x] for s, _, x in keys_of(shard))]))
+                parts = -(-len(asking) // ASKING)
+                if parts:
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * parts, pa.int64()), "part": pa.array(range(parts), pa.int64()), "parts": pa.array([parts] * parts, pa.int64())})
 
     def compared(batches):
         for b in batches:
-            store, sieve = tokens.opened_store(sets_at, shards, "<u8"), tokens.Store(sketches, shards, np.uint8)
-            left, right = [], []
-            for shard, i, j, x, y in zip(*(b.column(c).to_pylist() for c in ("shard", "a", "z", "x", "y")), strict=True):
-                s = np.array(core.map_file(f"{lists}/{shard:06d}.sid", "<u8")[i:j])
-                root = roots(s, labels, shards)
-                names, place, counts = np.unique(root, return_inverse=True, return_counts=True)
-                asking = np.flatnonzero(place != int(counts.argmax()))[x : x + ASKING]
-                answering = np.arange(len(s))[y : y + ANSWERING]
-                tables = [np.array(one_set(sieve, s[v])) for v in answering]
-                held: dict[int, np.ndarray] = {}
-                for u in asking:
-                    own, mine, met = np.array(one_set(sieve, s[u])), None, set()
-                    for v, table in zip(answering, tables, strict=True):
-                        if place[v] in met or place[v] == place[u] or not may_link(own, table, percent):
-                            continue
-                        mine = np.array(one_set(store, s[u])) if mine is None else mine
-                        if v not in held:
-                            held[v] = np.array(one_set(store, s[v]))
-                        if linked(mine, held[v], percent):  # one link to each component is enough
-                            met.add(place[v])
-                            left.append(s[u])
-                            right.append(s[v])
-            yield from as_edges(left, right).to_batches()
-
-    keys = spark.range(0, shards, 1, shards).mapInArrow(listed, "mark bigint, shard bigint, a bigint, z bigint, n bigint")
-    one = core.materialise(keys.groupBy("mark").agg(F.min(F.struct("shard", "a", "z", "n")).alias("k")).select("k.*"), "apart")
-    blocks = one.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(ASKING)))).withColumn("y", F.explode(F.expr(f"sequence(0, z - a - 1, {ANSWERING})")))
-    return blocks.repartition(shards, F.xxhash64("shard", "a", "x", "y")).mapInArrow(compared, "a bigint, b bigint")
+            for shard, part, parts in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "parts")), strict=True):
+                store, tested, found = tokens.opened_store(sets_at, shards, "<u8"), {}, []
+                for s, place, asking in keys_of(shard):
+                    mine = [x for x in asking[part_of(s[asking], parts) == part] if (done := tested.get(int(s[x]))) is None or not np.isin(s, done).all()]
+                    if not mine:
+                        continue
+                    own = {x: np.array(one_set(store, s[x])) for x in mine}
+                    met = {x: np.zeros(int(place.max()) + 1, bool) for x in mine}
+                    for low in range(0, len(s), ANSWERING):
+                        whole = [np.array(one_set(store, v)) for v in s[low : low + ANSWERING]]
+                        n, near = np.array([len(v) for v in whole]), place[low : low + ANSWERING]
+                        values, code = np.unique(np.concatenate(whole), return_inverse=True)
+                        starts, mark = np.cumsum(n) - n, np.zeros(len(values) + 1, np.int64)
+                        for x in mine:
+                            at = np.searchsorted(values, own[x])
+                            at = np.where(values[np.minimum(at, len(values) - 1)] == own[x], at, len(values))
+                            mark[at] = 1
+                            both = np.add.reduceat(mark[code], starts)
+                            mark[at] = 0
+                            hit = np.flatnonzero((100 * both >= percent * (n + len(own[x]) - both)) & (near != place[x]) & ~met[x][near])
+                            if len(hit):  # one link to each component that it touches
+                                places, one = np.unique(near[hit], return_index=True)
+                                met[x][places] = True
+                                found += [(s[x], s[low + y]) for y in hit[one]]
+                    for x in mine:
+                        done = tested.get(int(s[x]))
+                        tested[int(s[x])] = s if done is None else np.union1d(done, s)
+                yield from as_edges([x for x, _ in found], [y for _, y in found]).to_batches()
+
+    parts = core.materialise(spark.range(0, shards, 1, shards).mapInArrow(listed, "shard bigint, part bigint, parts bigint"), "apart")
+    return parts.repartition(shards, F.xxhash64("shard", "part")).mapInArrow(compared, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -567,7 +577,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     first = core.materialise(verified(left.filter(F.col("shard") < shards), sets_at, shards, percent), "links")
     stars = cc.components(first)
     labels = write_labels(stars, shards)
-    more = core.materialise(still_apart(spark, lists, sets_at, sketches, labels, shards, percent), "links")
+    more = core.materialise(still_apart(spark, lists, sets_at, labels, shards, percent), "links")
     if more.limit(1).count():
         stars = cc.components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     facts = core.materialise(read_facts(spark, facts_at), "facts")
