@@ -32,6 +32,12 @@ def palette_lookup(r: Column, colormap: Column, reverse: bool = False) -> Column
     return F.get(colormap, F.greatest(F.lit(0).cast("bigint"), F.least((n - 1).cast("bigint"), F.floor(t * n))).cast("int"))
 
 
+def palette_layer(r: Column, colormaps: Column, layer: Column, reverse: bool = False) -> Column:
+    """The same from one of several colormaps; NULL for a layer that isn't there."""
+    own = F.get(colormaps, layer)
+    return F.when(own.isNotNull(), palette_lookup(r, own, reverse))
+
+
 def coloured(rgba: tuple[Column, ...], how: str) -> tuple[Column, ...]:
     if how == "grey":
         return colour.grey(rgba[0])
@@ -44,19 +50,25 @@ def coloured(rgba: tuple[Column, ...], how: str) -> tuple[Column, ...]:
     return rgba
 
 
-def chain(df: DataFrame, options: Imagery, bands: str = "bands", mask: str | None = None, opacity: float = 1.0) -> DataFrame:
-    """df with r, g, b, a (premultiplied) from an array of sampled bands; pixels that miss a colour band go."""
-    from .sampling import missing
+def chain(df: DataFrame, options: Imagery, bands: str = "bands", mask: str | None = None, opacity: float = 1.0, colormap: Column | None = None, reverse: bool = False) -> DataFrame:
+    """df with r, g, b, a (premultiplied) from an array of sampled bands: seed, mask, stretch, colour; pixels that miss a colour band go.
+
+    A palette's colormap is an array of structs r, g, b, a of 0 to 255.
+    """
+    from .sampling import composite, missing
 
+    if options.conversion == "palette" and colormap is None:
+        raise ValueError("a palette needs a colormap")
     if mask:
         df = mask_filter(df, mask)
     at = lambda i: F.get(F.col(bands), F.lit(options.channels[i])) / options.sampling.denorm
-    rgba = tuple(at(i) if options.channels[i] >= 0 else F.lit(1.0 if i == 3 else 0.0) for i in range(4))
-    alive = F.lit(True)
-    for i in range(3):
-        if options.channels[i] >= 0:
-            alive = alive & ~missing(rgba[i], options.sampling.nodata)
+    samples = [{"value": at(i), "valid": ~missing(at(i), options.sampling.nodata)} if options.channels[i] >= 0 else {} for i in range(4)]
+    rgba, alive = composite(samples, options.channels, options.sampling.alpha_max)
     if options.rescale:
         rgba = linear_rescale(rgba, options.rescale)
-    out = colour.premultiplied(coloured(rgba, options.conversion), opacity)
-    return df.filter(alive).withColumns(dict(zip("rgba", out, strict=True)))
+    if options.conversion == "palette":
+        entry = palette_lookup(rgba[0], colormap, reverse)
+        rgba = tuple(entry[c] / 255.0 for c in "rgba")
+    else:
+        rgba = coloured(rgba, options.conversion)
+    return df.filter(alive).withColumns(dict(zip("rgba", colour.premultiplied(rgba, opacity), strict=True)))

@@ -15,6 +15,7 @@ from ..runtime import ship
 
 MAX_ERROR, LAT_EPSILON, LEAST_SIDE = 0.125, 1e-9, 1 / 16
 
+TRIANGLES = "z int, x int, y int, t int, i0 int, i1 int, i2 int, u0 double, v0 double, u1 double, v1 double, u2 double, v2 double"
 VERTICES = "z int, x int, y int, i int, hi_x float, hi_y float, lo_x float, lo_y float, u double, v double, error double"
 
 
@@ -55,38 +56,53 @@ def refine(width: int, height: int, forward: Callable, inverse: Callable, max_er
         return float(off[k]), k
 
     heap: list = []
+    beside: dict[tuple[int, int], set] = {}  # a side's triangles
+    sides = lambda t: [(t[i], t[(i + 1) % 3]) for i in range(3)]
+    key = lambda s: (min(s), max(s))
+    alive: set = set()
 
     def push(t):
         e, k = worst(t)
         heapq.heappush(heap, (-e, t, k))
+        alive.add(t)
+        for s in sides(t):
+            beside.setdefault(key(s), set()).add(t)
+
+    def drop(t):
+        alive.discard(t)
+        for s in sides(t):
+            beside[key(s)].discard(t)
 
     push((0, 1, 2))
     push((1, 3, 2))
     while not -heap[0][0] <= max_error:
         # the longest side in pixels is halved, on both of its triangles, so no crack opens
-        _, t, _ = heapq.heappop(heap)
-        sides = [(t[i], t[(i + 1) % 3]) for i in range(3)]
-        a, b = max(sides, key=lambda s: ((uv[s[0]][0] - uv[s[1]][0]) * width) ** 2 + ((uv[s[0]][1] - uv[s[1]][1]) * height) ** 2)
+        t = heap[0][1]
+        if t not in alive:
+            heapq.heappop(heap)
+            continue
+        a, b = max(sides(t), key=lambda s: ((uv[s[0]][0] - uv[s[1]][0]) * width) ** 2 + ((uv[s[0]][1] - uv[s[1]][1]) * height) ** 2)
         if np.hypot((uv[a][0] - uv[b][0]) * width, (uv[a][1] - uv[b][1]) * height) < LEAST_SIDE:
             raise ValueError(f"the mesh can't hold an error of {max_error} pixels: the warp jumps near {uv[a]}")
         mid = ((uv[a][0] + uv[b][0]) / 2, (uv[a][1] + uv[b][1]) / 2)
         m = where.setdefault(mid, len(uv))
         if m == len(uv):
             uv.append(mid)
-        both = [t] + [x for x in (h[1] for h in heap) if a in x and b in x]
-        heap[:] = [h for h in heap if h[1] not in both]
-        heapq.heapify(heap)
-        for x in both:
-            for old, new in ((a, m), (b, m)):
-                push(tuple(new if i == old else i for i in x))
-    return np.array(uv), np.array(sorted(h[1] for h in heap)), -heap[0][0]
+        for x in sorted(beside[key((a, b))]):
+            drop(x)
+            for old in (a, b):
+                push(tuple(m if i == old else i for i in x))
+    worst_left = max(-e for e, t, _ in heap if t in alive)
+    return np.array(uv), np.array(sorted(alive)), worst_left
 
 
-def meshes(tiles: DataFrame, forward: Callable, inverse: Callable, max_error: float = MAX_ERROR) -> DataFrame:
-    """A row for each vertex, positions in mercator split into two singles. tiles: z, x, y, width, height, a..f, v_top, v_bottom.
+def meshes(tiles: DataFrame, forward: Callable, inverse: Callable, max_error: float = MAX_ERROR, triangles: bool = False) -> DataFrame:
+    """A row for each vertex, positions in mercator split into two singles; or a row for each triangle, by its vertices. tiles: z, x, y, width, height, a..f, v_top, v_bottom.
 
     forward (CRS -> mercator) and inverse take and give numpy arrays.
     """
+    shape = TRIANGLES if triangles else VERTICES
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples(index=False):
@@ -98,11 +114,15 @@ def meshes(tiles: DataFrame, forward: Callable, inverse: Callable, max_error: fl
                 return (r.e * (cx - r.c) - r.b * (cy - r.f)) / det, (r.a * (cy - r.f) - r.d * (cx - r.c)) / det
 
             v = (0.0, 1.0) if pd.isna(r.v_top) else (r.v_top, r.v_bottom)
-            uv, _, error = refine(r.width, r.height, to, back, max_error, v)
+            uv, faces, error = refine(r.width, r.height, to, back, max_error, v)
+            if triangles:
+                corner = {f"{n}{k}": uv[faces[:, k], j] for k in range(3) for j, n in enumerate("uv")}
+                out.append(pd.DataFrame({"z": r.z, "x": r.x, "y": r.y, "t": np.arange(len(faces)), **{f"i{k}": faces[:, k] for k in range(3)}, **corner}))
+                continue
             mx, my = to(uv[:, 0] * r.width, uv[:, 1] * r.height)
             hx, hy = mx.astype(np.float32), my.astype(np.float32)
             out.append(pd.DataFrame({"z": r.z, "x": r.x, "y": r.y, "i": np.arange(len(uv)), "hi_x": hx, "hi_y": hy, "lo_x": (mx - hx).astype(np.float32), "lo_y": (my - hy).astype(np.float32), "u": uv[:, 0], "v": uv[:, 1], "error": error}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in VERTICES.split(", ")])
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in shape.split(", ")])
 
     def run(batches):
         for pdf in batches:
@@ -110,4 +130,4 @@ def meshes(tiles: DataFrame, forward: Callable, inverse: Callable, max_error: fl
                 yield build(pdf)
 
     ship(tiles.sparkSession)
-    return tiles.mapInPandas(run, VERTICES)
+    return tiles.mapInPandas(run, shape)

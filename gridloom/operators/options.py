@@ -249,3 +249,15 @@ SCHEMES = {
 def legend_text(band: Band) -> str:
     f = lambda v: f"{v:g}"
     return f"< {f(band.max)}" if band.min is None else f"≥ {f(band.min)}" if band.max is None else f"{f(band.min)} – {f(band.max)}"
+
+
+#: Band presets: name -> bands of the common band orders, from 0.
+PRESETS = {"grey": [0], "natural": [0, 1, 2], "natural-alpha": [0, 1, 2, 3], "infrared": [3, 0, 1], "vegetation": [3, 2, 1]}
+
+
+def preset(name: str, n_bands: int) -> list[int]:
+    """The bands of a preset; one that the raster can't hold is an error."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name!r}")
+    check_bands(PRESETS[name], n_bands)
+    return list(PRESETS[name])

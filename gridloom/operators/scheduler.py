@@ -80,3 +80,47 @@ def from_centre(x: Column, y: Column, cx: Column, cy: Column) -> Column:
 
 def counters(state: DataFrame, partition: list[str]) -> DataFrame:
     return state.groupBy(*partition).agg(F.count("*").alias("size"), F.count_if(F.col("state") == "loading").alias("loading"), F.count_if(F.col("state") == "decoded").alias("pending"), F.sum(F.when(F.col("state") == "loaded", F.col("bytes")).otherwise(0)).alias("byte_size"))
+
+
+def covering_range(z: Column, tile_range: tuple[Column, Column, Column, Column]) -> Column:
+    """Tiles (z, x, y) of an inclusive range x0, y0, x1, y1; none if it is empty."""
+    x0, y0, x1, y1 = tile_range
+    cells = F.flatten(F.transform(F.sequence(y0, y1), lambda y: F.transform(F.sequence(x0, x1), lambda x: F.struct(z.alias("z"), x.alias("x"), y.alias("y")))))
+    return F.when((x0 <= x1) & (y0 <= y1), cells).otherwise(F.slice(cells, 1, 0))
+
+
+def loaded_covering(asked: DataFrame, loaded: DataFrame, keys: list[str], now: str = "now") -> DataFrame:
+    """Loaded tiles in the ranges (z, x0, y0, x1, y1) that are asked for, touched: `used` becomes the asking time."""
+    some = asked.filter("x0 <= x1 and y0 <= y1")
+    cells = some.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "y0", "x1", "y1")
+    return cells.join(loaded.drop("used"), [*keys, "z", "x", "y"]).withColumnRenamed(now, "used")
+
+
+def protected_ancestors(shown: DataFrame, loaded: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """Loaded tiles at any coarser level over a shown tile, which eviction must spare; levels halve, keys are generated."""
+    up = shown.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(depth)))).filter("d <= z")
+    over = up.select(*keys, (F.col("z") - F.col("d")).alias("z"), F.expr("shiftright(x, d)").alias("x"), F.expr("shiftright(y, d)").alias("y")).distinct()
+    return loaded.join(over, [*keys, "z", "x", "y"], "left_semi")
+
+
+def painter_order(tiles: DataFrame, partition: list[str]) -> DataFrame:
+    """Tiles with `paint`, their place in drawing order: coarser levels first, so finer ones cover them."""
+    w = Window.partitionBy(*partition).orderBy("z", "x", "y")
+    return tiles.withColumn("paint", F.row_number().over(w))
+
+
+def live_results(results: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Results (keys, attempt) whose attempt is the tile's present one; late ones of an earlier attempt, or of a tile that went, are dropped."""
+    return results.join(state.filter("state = 'loading'").select(*keys, "attempt"), [*keys, "attempt"], "left_semi")
+
+
+def destroyed(state: DataFrame, keys: list[str]) -> DataFrame:
+    """What ending a session does to each tile: loads are aborted, loaded ones freed; nothing stays."""
+    return state.select(*keys, F.when(F.col("state") == "loading", "abort").when(F.col("state").isin("loaded", "decoded"), "free").otherwise("forget").alias("action"), F.when(F.col("state").isin("loaded", "decoded"), F.col("bytes")).otherwise(0).alias("bytes"))
+
+
+def open_outcome(now: Column, attempts: Column, result: Column) -> dict[str, Column]:
+    """What becomes of opening a source. result: ok, empty (a source of nothing, on purpose), lost (can't recover) or failed."""
+    again = retry_at(now, attempts)
+    state = F.when(result.isin("ok", "empty"), result).when((result == "failed") & again.isNotNull(), "retry").otherwise("lost")
+    return {"state": state, "retry_at": F.when(result == "failed", again)}

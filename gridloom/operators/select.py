@@ -1,7 +1,8 @@
 """Tile selection: which tiles at which level a view needs.
 
 One step a level: filter the frontier by bounds, frustum and level of detail,
-keep what is good enough, turn the rest into children on generated keys. Results
+keep what is good enough, turn the rest into children on generated keys. Levels are
+broadcast, as a dataset has few; views stay distributed. Results
 are sets of (z, x, y). The number of levels is small and known, so the plan has a fixed depth.
 """
 
@@ -91,7 +92,7 @@ def fine_enough(mpp: Column, css: Column, pixel_ratio: Column, lod_bias: float =
 
 def roots(levels: DataFrame, view: DataFrame, bounds: tuple[float, float, float, float] | None = None, from_lnglat: Projection = spaces.metres_from_lnglat) -> DataFrame:
     """Tiles of level 0: all of a small matrix, else those where the view meets the dataset's bounds (degrees)."""
-    top = levels.filter("z = 0").crossJoin(F.broadcast(view.select("frame", "west", "south", "east", "north")))  # one level, one row a frame
+    top = view.select("frame", "west", "south", "east", "north").crossJoin(F.broadcast(levels.filter("z = 0")))  # a dataset has one level 0
     few = F.col("matrix_w") * F.col("matrix_h") <= MOST_ROOTS
     b = [F.lit(float(v)) for v in (bounds or (-180.0, -spaces.MAX_LAT, 180.0, spaces.MAX_LAT))]
     cut = [F.greatest(b[0], F.col("west")), F.greatest(b[1], F.col("south")), F.least(b[2], F.col("east")), F.least(b[3], F.col("north"))]
@@ -122,7 +123,7 @@ def select_tiles(levels: DataFrame, view: DataFrame, globe: bool = False, depth:
     last = depth - 1 if max_z is None else max_z
     frontier, chosen = roots(levels, view, bounds, from_lnglat), None
     for z in range(depth):
-        seen = with_volume(frontier.join(F.broadcast(levels), "z").join(F.broadcast(view), "frame"), globe, to_metres, low, high)
+        seen = with_volume(frontier.join(F.broadcast(levels), "z").join(view, "frame"), globe, to_metres, low, high)
         if box is not None:
             seen = seen.filter(overlaps(tuple(F.lit(float(v)) for v in box), tuple(F.col(c) for c in CULL_BOX)))
         seen = seen.filter(in_frustum(F.col("hull"), F.col("planes")))
@@ -141,11 +142,11 @@ def elevation_range(z_range: tuple[float, float] | None, units: float) -> tuple[
     return tuple((v * units) if v else 0.0 for v in (z_range or (0.0, 0.0)))
 
 
+def elevation_columns(low: Column, high: Column, units: Column) -> spaces.Pair:
+    """The same for columns; NULL is 0."""
+    return F.coalesce(low * units, F.lit(0.0)), F.coalesce(high * units, F.lit(0.0))
+
+
 def swept(cache: DataFrame, size: int) -> DataFrame:
     """What stays of a cache (key, touched) beyond its size: the newest floor(size / 2) entries."""
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy(F.desc("touched"), F.desc("key"))
-    n = cache.agg(F.count("*").alias("n"))
-    kept = cache.crossJoin(F.broadcast(n)).withColumn("r", F.row_number().over(w))
-    return kept.filter((F.col("n") <= size) | (F.col("r") <= math.floor(size / 2))).drop("r", "n")
+    return cache if cache.count() <= size else cache.orderBy(F.desc("touched"), F.desc("key")).limit(math.floor(size / 2))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import spaces
 
@@ -47,3 +48,32 @@ def viewport(spark: SparkSession, frame: int, projection: str, zoom: float, lng:
         units = spaces.COMMON / (math.cos(math.radians(max(-89.0, min(89.0, lat)))) * spaces.EARTH)
     row = (frame, projection, float(zoom), float(lng), float(lat), own, *map(float, bounds), float(units), float(ratio), None if camera is None else [float(c) for c in camera])
     return spark.createDataFrame([row], SCHEMA)
+
+
+def raster_viewport(spark: SparkSession, frame: int, projection: str, mercator_matrix, zoom: float, lng: float, lat: float, bounds, ratio: float = 1.0, clipping_plane=None, camera=None) -> DataFrame:
+    """A viewport row from the map's own matrix: six planes in common space, or on a globe the four sides and the horizon."""
+    if projection == "globe":
+        planes = frustum_planes(mercator_matrix, sides_only=True) + [spaces.horizon_plane(clipping_plane)]
+        return viewport(spark, frame, projection, zoom, lng, lat, planes, bounds, ratio, camera=camera)
+    if projection != "mercator":
+        raise ValueError(f"unknown projection {projection!r}")
+    return viewport(spark, frame, projection, zoom, lng, lat, frustum_planes(clip_from_common(mercator_matrix)), bounds, ratio)
+
+
+def drawing_ratio(buffer_width: Column, css_width: Column) -> Column:
+    """Buffer pixels for each CSS pixel; 1 where the width is 0."""
+    return F.when(css_width == 0, F.lit(1.0)).otherwise(buffer_width / F.nullif(css_width, F.lit(0)))
+
+
+def variant_projection(variant: Column) -> Column:
+    """mercator or globe from a shader variant's name; NULL for others."""
+    return F.when(F.contains(variant, F.lit("globe")), "globe").when(F.contains(variant, F.lit("mercator")), "mercator")
+
+
+def frame_constants(views: DataFrame, opacity: float = 1.0) -> DataFrame:
+    """views with a frame's constants: opacity, and the centre in mercator split into two singles."""
+    from .options import check_opacity
+
+    mx, my = spaces.mercator_from_lnglat(F.col("lng"), F.col("lat"))
+    (hx, lx), (hy, ly) = spaces.split_double(mx), spaces.split_double(my)
+    return views.withColumns({"opacity": F.lit(check_opacity(opacity)), "origin_hi_x": hx, "origin_hi_y": hy, "origin_lo_x": lx, "origin_lo_y": ly})

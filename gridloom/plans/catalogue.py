@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +85,15 @@ JOIN p b ON b.gx = a.gx + 1 AND b.gy = a.gy JOIN p c ON c.gx = a.gx AND c.gy = a
 
 
 def _quads(spark, sf) -> DataFrame:
-    """Every 2 x 2 block of the mosaic's texels, across tile seams."""
-    p = embedding_pixels(spark, sf).select("gx", "gy", F.col("v").alias("v00"))
-    for dx, dy, name in ((1, 0, "v10"), (0, 1, "v01"), (1, 1, "v11")):
-        o = embedding_pixels(spark, sf).select((F.col("gx") - dx).alias("gx"), (F.col("gy") - dy).alias("gy"), F.col("v").alias(name))
-        p = p.join(o, ["gx", "gy"])
-    return p
+    """Every 2 x 2 block of the mosaic's texels, across tile seams: of each padded tile, where the neighbours exist."""
+    side, p = rasters.TILE, F.col("p")
+    tiles = halo.with_halo(embedding_tiles(spark, sf)).select("x", "y", "padded", "near", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("p"))
+    row, column = F.floor(p / side).cast("int"), p % side
+    there = lambda dx, dy: F.get("near", F.lit(halo.OFFSETS.index((dx, dy))))
+    right, low = column == side - 1, row == side - 1
+    whole = (~right | there(1, 0)) & (~low | there(0, 1)) & (~(right & low) | there(1, 1))
+    at = lambda dx, dy: F.get("padded", (row + 1 + dy) * (side + 2) + column + 1 + dx)
+    return computed(tiles.filter(whole), {"gx": F.col("x") * side + column, "gy": F.col("y") * side + row, "v00": at(0, 0), "v10": at(1, 0), "v01": at(0, 1), "v11": at(1, 1)}, [])
 
 
 @query(f"{_BILINEAR_SQL} SELECT gx, gy, round(((v00 + (v10 - v00) * 0.25) + ((v01 + (v11 - v01) * 0.25) - (v00 + (v10 - v00) * 0.25)) * 0.75), 12) AS value FROM q")
@@ -512,21 +516,25 @@ def web_mercator_clamp(spark, sf):
 # --- rows only: iterative or stateful -------------------------------------
 
 
-@query()
-def mesh_triangles(spark, sf):
-    """Vertices of warp meshes for degree tiles on a sphere-to-mercator warp."""
-    import numpy as np
+def _forward(x, y):
+    """Degrees to mercator, on arrays."""
+    phi = np.radians(np.clip(y, -spaces.MAX_LAT, spaces.MAX_LAT))
+    return (np.asarray(x) + 180) / 360, 0.5 - np.log(np.tan(np.pi / 4 + phi / 2)) / (2 * np.pi)
 
-    def forward(x, y):
-        phi = np.radians(np.clip(y, -spaces.MAX_LAT, spaces.MAX_LAT))
-        return (np.asarray(x) + 180) / 360, 0.5 - np.log(np.tan(np.pi / 4 + phi / 2)) / (2 * np.pi)
 
-    def inverse(mx, my):
-        return np.asarray(mx) * 360 - 180, np.degrees(2 * np.arctan(np.exp((0.5 - np.asarray(my)) * 2 * np.pi)) - np.pi / 2)
+def _inverse(mx, my):
+    return np.asarray(mx) * 360 - 180, np.degrees(2 * np.arctan(np.exp((0.5 - np.asarray(my)) * 2 * np.pi)) - np.pi / 2)
 
+
+def _mesh_tiles(spark, sf) -> DataFrame:
     n = table(spark, sf, "nation").select(F.lit(0).alias("z"), F.col("n_nationkey").cast("int").alias("x"), F.lit(0).alias("y"), F.lit(256).alias("width"), F.lit(256).alias("height"), F.lit(10.0 / 256).alias("a"), F.lit(0.0).alias("b"), (F.col("n_nationkey") * 10 - 125.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-10.0 / 256).alias("e"), (F.col("n_nationkey") * 6 - 70.0).alias("f"))
-    v = mesh.clamp_rows(F.col("f"), F.col("f") - 10)
-    return mesh.meshes(n.withColumns(v).repartition(8, "x"), forward, inverse)
+    return n.withColumns(mesh.clamp_rows(F.col("f"), F.col("f") - 10)).repartition(8, "x")
+
+
+@query()
+def mesh_triangles(spark, sf):
+    """Vertices of warp meshes for degree tiles on a sphere-to-mercator warp."""
+    return mesh.meshes(_mesh_tiles(spark, sf), _forward, _inverse)
 
 
 @query()
@@ -549,3 +557,6 @@ def globe_select(spark, sf):
     lv = affine.with_level_facts(spark.createDataFrame(rows, "z int, a double, b double, c double, d double, e double, f double, array_w int, array_h int, tile_w int, tile_h int, mpu double"))
     view = viewport.viewport(spark, 0, "globe", 2, 0, 0, [spaces.horizon_plane((0, 0, 1, -0.3))], (-180, -85, 180, 85), units=1 / 6371008.8, camera=(0, 0, 1))
     return select.select_tiles(lv, view, globe=True, depth=2)
+
+
+from . import extended  # noqa: E402, F401  adds its queries to these

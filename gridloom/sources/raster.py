@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,19 +17,49 @@ META = "dataset_id string, crs string, mpu double, sample_format string, bits in
 LEVEL = "dataset_id string, z int, a double, b double, c double, d double, e double, f double, array_w int, array_h int, tile_w int, tile_h int, mpu double"
 TILE = "dataset_id string, z int, x int, y int, width int, height int, planes array<array<double>>, mask array<tinyint>"
 
-#: CRS name -> (CRS to EPSG:3857 metres, degrees to CRS); others can be added.
+#: CRS name -> (CRS to EPSG:3857 metres, degrees to CRS); `register` adds others.
 CRS = {
     "EPSG:3857": (select.identity, spaces.metres_from_lnglat),
     "EPSG:4326": (spaces.metres_from_lnglat, select.identity),
 }
+# Metres of a unit.
+UNITS = {"metre": 1.0, "meter": 1.0, "m": 1.0, "foot": 0.3048, "us survey foot": 1200 / 3937, "degree": spaces.WORLD / 360}
 
 
-def crs(name: str):
+def register(name: str, to_metres, from_lnglat) -> None:
+    """Adds a CRS by its two projections, which take and give pairs of Columns; latitudes stop short of the poles."""
+    limit = lambda lat: spaces.clamp(lat, -spaces.MAX_LAT, spaces.MAX_LAT)
+    CRS[crs_name(name)] = (to_metres, lambda lng, lat: from_lnglat(lng, limit(lat)))
+
+
+def crs_name(code: int | str) -> str:
+    """EPSG:n of a number, of EPSG:n, or of WKT, whose last authority counts; WKT without one goes by its own name."""
+    text = str(code).strip()
+    if text.isdigit():
+        return f"EPSG:{text}"
+    if re.fullmatch(r"(?i)epsg:\d+", text):
+        return text.upper()
+    if found := re.findall(r'(?i)(?:AUTHORITY|ID)\["EPSG"\s*,\s*"?(\d+)"?\]', text):
+        return f"EPSG:{found[-1]}"
+    if found := re.match(r'\w+\["([^"]+)"', text):
+        return found[1]
+    return text
+
+
+def crs(code: int | str):
+    name = crs_name(code)
     if name not in CRS:
-        raise ValueError(f"unknown CRS {name!r}: add its two projections to CRS")
+        raise ValueError(f"unknown CRS {name!r}: register its two projections")
     return CRS[name]
 
 
+def metres_per_unit(units: str | None) -> float:
+    """Of a CRS; one without units can't be measured."""
+    if not units or units.lower() not in UNITS:
+        raise ValueError(f"a CRS needs known units, not {units!r}")
+    return UNITS[units.lower()]
+
+
 def numbered(overviews: DataFrame) -> DataFrame:
     """Levels with z from the coarsest (0) to the full resolution, by pixel size."""
     w = Window.partitionBy("dataset_id").orderBy(F.desc(F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d"))))
@@ -94,6 +125,13 @@ class RasterDataset:
             raise ValueError("a tileset needs a level")
         return affine.with_level_facts(self.levels)
 
+    def level(self, z: int) -> DataFrame:
+        """The facts of a level; a level that isn't there is an error."""
+        found = self.level_facts.filter(F.col("z") == z)
+        if not found.take(1):
+            raise ValueError(f"no level {z}")
+        return found
+
     def describe(self) -> DataFrame:
         """Projection and geographic bounds, of the coarsest level."""
         to_metres, _ = crs(self.facts["crs"])
@@ -101,8 +139,9 @@ class RasterDataset:
         return self.level_facts.filter("z = 0").select("dataset_id", F.lit(self.facts["crs"]).alias("crs"), *[c.alias(n) for n, c in geographic_bounds(box, to_metres).items()])
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
-        """Tiles of (z, x, y) keys."""
-        return self.tiles.join(wanted.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
+        """Tiles of (z, x, y) keys, of their dataset where the keys name one."""
+        keys = [c for c in halo.tile_keys(self.tiles) if c in wanted.columns]
+        return self.tiles.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
     def select(self, view: DataFrame, **how) -> DataFrame:
         to_metres, from_lnglat = crs(self.facts["crs"])

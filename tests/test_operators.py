@@ -1,4 +1,7 @@
-"""Golden values of single operators."""
+"""Golden values of single operators.
+
+The numbers are fixed values of FIXTURES.md, which results must equal; they stand as they are there.
+"""
 
 import math
 
