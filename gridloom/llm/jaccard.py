@@ -605,3 +605,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+
+# Copies first become one class, and classes meet on shared shingles; components by what a class reaches.
+ORACLE = {
+    "op10_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT rowid_ AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)),
+g AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+k AS (SELECT s, min(doc_id) AS low, row_number() OVER (ORDER BY min(doc_id)) AS c, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM g WHERE len(s) > 0) GROUP BY s),
+t AS (SELECT c, n, unnest(s) AS x FROM k),
+l AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.x = b.x AND a.c < b.c GROUP BY a.c, a.n, b.c, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+m AS (SELECT c AS a, c AS b FROM k UNION SELECT m.a, e.b FROM m JOIN e ON m.b = e.a),
+o AS (SELECT a, min(low) AS component_id FROM m JOIN k ON k.c = m.b GROUP BY a)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(o.component_id, g.doc_id) AS component_id FROM g LEFT JOIN k ON k.s = list_sort(g.s) LEFT JOIN o ON o.a = k.c"""
+}

@@ -115,13 +115,13 @@ def blocks_of(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int) -> p
     rows = []
     for s in np.flatnonzero(np.diff(cut)):
         at = order[cut[s] : cut[s + 1]]
-        rows.append({"shard": int(s), "k": core.planes(np.diff(k[at], prepend=np.uint64(0))), "c": core.planes(c[at].astype("<u4"))})
+        rows.append({"shard": int(s), "k": core.planes(np.diff(k[at], prepend=np.uint64(0))), "c": core.planes(c[at].astype("<i8"))})
     return pa.RecordBatch.from_pylist(rows, schema=SHAPE)
 
 
 def summed(group) -> tuple[np.ndarray, np.ndarray]:
     keys = [np.cumsum(core.unplanes(x, "<u8"), dtype=np.uint64) for x in group.column("k").to_pylist()]
-    return merged(keys, [core.unplanes(x, "<u4").astype(np.int64) for x in group.column("c").to_pylist()])
+    return merged(keys, [core.unplanes(x, "<i8") for x in group.column("c").to_pylist()])
 
 
 BLOCKS = "shard int, k binary, c binary"
@@ -132,12 +132,10 @@ class Words:
     """The vocabulary's files, mapped as they are needed."""
 
     def __init__(self, folder: str, bases: tuple[int, ...]):
-        self.folder, self.bases, self.shards, self.maps = folder, np.array(bases), len(bases) - 1, {}
+        self.folder, self.bases, self.shards = folder, np.array(bases), len(bases) - 1
 
     def file(self, k: int, name: str, kind) -> np.ndarray:
-        if (k, name) not in self.maps:
-            self.maps[k, name] = core.map_file(f"{self.folder}/{k:06d}.{name}", kind)
-        return self.maps[k, name]
+        return core.map_file(f"{self.folder}/{k:06d}.{name}", kind)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids of word hashes, -1 for those that weren't learnt; h ascends."""
@@ -190,7 +188,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     """Counts the model from whole texts."""
     spark = texts.sparkSession
     core.ship(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = core.shards_for(texts.select(text))
     words_at, bigrams_at = core.shared_folder(spark, "words"), core.shared_folder(spark, "bigrams")
     texts = texts.select(F.col(text).alias("t"))
 
@@ -241,8 +239,9 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     def save_pairs(group):
         k, c = summed(group)
         s = group.column("shard")[0].as_py()
+        wide = "<u4" if not len(c) or int(c.max()) < 1 << 32 else "<u8"
+        core.put_file(f"{bigrams_at}/{s:06d}.{wide[1:]}", c.astype(wide))
         core.put_file(f"{bigrams_at}/{s:06d}.key", k)
-        core.put_file(f"{bigrams_at}/{s:06d}.count", c.astype("<u4"))
         context, word = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         own = context[at]
@@ -290,7 +289,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, self.words, self.maps = model, opened_words(model.words, model.bases), {}
+        self.m, self.words = model, opened_words(model.words, model.bases)
 
     def counts(self, context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
         out, k = np.zeros(len(word), np.int64), bigram_shard(context, word, hot, self.m.shards)
@@ -298,14 +297,15 @@ class Scorer:
         order = np.argsort(k, kind="stable")
         cut = np.searchsorted(k[order], np.arange(self.m.shards + 1))
         for s in np.flatnonzero(np.diff(cut)):
-            s = int(s)
-            if s not in self.maps:
-                try:
-                    self.maps[s] = tuple(core.map_file(f"{self.m.bigrams}/{s:06d}.{x}", d) for x, d in (("key", "<u8"), ("count", "<u4")))
-                except FileNotFoundError:
-                    self.maps[s] = None
-            if self.maps[s] is not None:
-                keys, n = self.maps[s]
+            try:
+                keys = core.map_file(f"{self.m.bigrams}/{s:06d}.key", "<u8")
+            except FileNotFoundError:
+                continue
+            try:
+                n = core.map_file(f"{self.m.bigrams}/{s:06d}.u4", "<u4")
+            except FileNotFoundError:
+                n = core.map_file(f"{self.m.bigrams}/{s:06d}.u8", "<u8")
+            if len(keys):
                 mine = order[cut[s] : cut[s + 1]]
                 at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
                 out[mine] = np.where(keys[at] == key[mine], n[at], 0)

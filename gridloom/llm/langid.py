@@ -153,7 +153,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told apart; rejected ones go. A left-semi of one row per id."""
+    """Keeps rows whose language is told apart, with all their columns; rejected ones go, in one pass."""
     dictionaries = fit(training_rows(docs))
     core.ship(spark)
     bag = spark.sparkContext.broadcast(dictionaries)

@@ -199,6 +199,24 @@ def put_file(uri: str, *parts) -> None:
     fs.move(draft, path)
 
 
+class Draft:
+    """A file that is written piece by piece and appears under its name, whole, when it is done."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = _from_uri(uri)
+        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+        self.draft = f"{self.path}.{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.draft)
+
+    def write(self, x: np.ndarray) -> None:
+        if x.nbytes:
+            self.out.write(memoryview(np.ascontiguousarray(x)).cast("B"))
+
+    def done(self) -> None:
+        self.out.close()
+        self.fs.move(self.draft, self.path)
+
+
 def map_file(uri: str, dtype) -> np.ndarray:
     """A file as an array: memory-mapped where the folder is mounted, else read from its store.
 

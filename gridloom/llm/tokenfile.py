@@ -49,24 +49,27 @@ def write(docs: DataFrame, path: str, kind: str, end_id: int, key: str = "doc_id
 
         part = TaskContext.get().partitionId()
         opened = tokens.opened_store(store, shards, dtype)
-        out, keys, ends, total = [], [], [np.zeros(1, np.int64)], 0
+        files, total = None, 0
         for b in batches:
             k = np.asarray(b.column(0).cast(pa.int64()).fill_null(NULL_KEY))
             for i, j, ids, stop in tokens.encoded(b.column(1), opened, kind):
+                if files is None:
+                    files = [core.Draft(f"{folder}/{part:06d}.{x}") for x in ("bin", "off", "key")]
+                    files[1].write(np.zeros(1, "<i8"))
                 with_end = np.insert(ids, stop, np.array(end_id, dtype))
-                out.append(with_end)
-                keys.append(k[i:j])
-                ends.append(total + stop + np.arange(1, j - i + 1))
+                ends = total + stop + np.arange(1, j - i + 1)
+                for f, x in zip(files, (with_end, ends.astype("<i8"), k[i:j].astype("<i8")), strict=True):
+                    f.write(x)  # a block at a time: a task holds no partition
                 total += len(with_end)
-        if keys:
-            core.put_file(f"{folder}/{part:06d}.bin", *out)
-            core.put_file(f"{folder}/{part:06d}.off", *ends)
-            core.put_file(f"{folder}/{part:06d}.key", *keys)
+        if files:
+            for f in files:
+                f.done()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([total], pa.int64())})
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = core.shards_for(rows)
     ordered = rows.repartitionByRange(n, "k").sortWithinPartitions("k", F.xxhash64("t"))
     counts = sorted((r["part"], r["n"]) for r in ordered.mapInArrow(save, "part int, n bigint").collect())
+    core.drop_folder(store)
     bases = np.cumsum([0, *(c for _, c in counts)]).tolist()
     return TokenFiles(folder, tuple((p, base) for (p, _), base in zip(counts, bases, strict=False)), dtype.str)
 
