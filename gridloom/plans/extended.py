@@ -9,6 +9,7 @@ from ..functions import affine, spaces
 from ..functions.barrier import computed
 from ..operators import cache, halo, imagery, mesh, options, sampling, scheduler, select, style, viewport, warp
 from ..sources import raster
+from ..streaming import loader
 from . import catalogue as base
 from . import rasters
 from .catalogue import DEM_T, LAT, _BILINEAR_SQL, _HITS_SQL, _STATE_SQL, _TILES_SQL, C, _bands_sql, _quads, _state, _tiles, _views, query, r12
@@ -330,3 +331,14 @@ def source_opening(spark, sf):
     result = F.element_at(F.array(*map(F.lit, ("ok", "empty", "lost", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
     found = scheduler.open_outcome(F.col("event_id"), F.pmod("event_id", F.lit(5)) + 1, result)
     return table(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in found.items()])
+
+
+@query()
+def loader_fold(spark, sf):
+    """The whole loader over each user's events: clicks are frames of nine tiles, purchases uploads, the rest results of the first loads."""
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "click", "frame").when(F.col("event_type") == "purchase", "upload").otherwise("result")
+    key = lambda i: F.concat_ws("/", F.lit("3"), ((F.col("event_id") + i % 3) % 8).cast("string"), ((F.col("event_id") * 3 + F.floor(i / 3)) % 8).cast("string"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(8)), key)
+    f = e.select((F.col("user_id") % 20).cast("string").alias("session"), F.col("event_id").cast("bigint").alias("seq"), kind.alias("kind"), F.col("event_id").cast("bigint").alias("now"), keys.alias("keys"), key(F.lit(0)).alias("key"), (F.col("event_id") % 9 + 1).cast("int").alias("attempt"), F.lit(4096).cast("bigint").alias("bytes"))
+    return loader.fold(f, byte_cap=1 << 18)

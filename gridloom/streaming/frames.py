@@ -57,14 +57,25 @@ def _folded(pdf: pd.DataFrame, tiles: dict, caps: tuple[int, int, int]) -> list[
 
 
 def fold(frames: DataFrame, in_flight: int = 6, byte_cap: int = 256 << 20, count_cap: int = 512) -> DataFrame:
-    """Batch: frames (session, frame, now, keys, tile_bytes) of a session in order; a row for each frame."""
-    ship(frames.sparkSession)
-    caps = (in_flight, byte_cap, count_cap)
+    """Batch: frames (session, frame, now, keys, tile_bytes) of a session in order; a row for each frame.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"session": key[0]} | x for x in _folded(pdf, {}, caps)])
-
-    return frames.groupBy("session").applyInPandas(run, OUT)
+    Sessions are sorted within partitions and read batch by batch: a task holds one session's tiles, not its history.
+    """
+    ship(frames.sparkSession)
+    caps, names = (in_flight, byte_cap, count_cap), [c.split()[0] for c in OUT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, tiles = None, {}
+        for pdf in batches:
+            rows = []
+            for name, own in pdf.groupby("session", sort=False):
+                if name != session:
+                    session, tiles = name, {}
+                rows += [{"session": name} | x for x in _folded(own, tiles, caps)]
+            yield pd.DataFrame(rows, columns=names)
+
+    kept = frames.select("session", "frame", "now", "keys", "tile_bytes")
+    return kept.repartition("session").sortWithinPartitions("session", "frame").mapInPandas(run, OUT)
 
 
 def fold_stream(frames: DataFrame, in_flight: int = 6, byte_cap: int = 256 << 20, count_cap: int = 512) -> DataFrame:
