@@ -106,11 +106,11 @@ def variant_projections(spark, sf):
 
 
 @query(f"""WITH p AS (SELECT id, (180 + lng) / 360 AS mx, 0.5 - {base._LOGTAN} / (2 * {base.PI}) AS my FROM ({POINTS_SQL}))
-SELECT id, CAST(0.8 AS DOUBLE) AS opacity, round(CAST(CAST(mx AS FLOAT) AS DOUBLE), 9) AS hx, round(CAST(CAST(my AS FLOAT) AS DOUBLE), 9) AS hy, round(CAST(CAST(mx AS FLOAT) AS DOUBLE) + CAST(CAST(mx - CAST(CAST(mx AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE), 10) AS x FROM p""")
+SELECT id, CAST(0.8 AS DOUBLE) AS opacity, round(CAST(CAST(mx AS FLOAT) AS DOUBLE), 9) AS hx, round(CAST(CAST(my AS FLOAT) AS DOUBLE), 9) + 0.0 AS hy, round(CAST(CAST(mx AS FLOAT) AS DOUBLE) + CAST(CAST(mx - CAST(CAST(mx AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE), 10) AS x FROM p""")
 def frame_constants(spark, sf):
     p = viewport.frame_constants(points(spark, sf), 0.8)
     hx, hy = F.col("origin_hi_x").cast("double"), F.col("origin_hi_y").cast("double")
-    return p.select("id", "opacity", F.round(hx, 9).alias("hx"), F.round(hy, 9).alias("hy"), F.round(hx + F.col("origin_lo_x").cast("double"), 10).alias("x"))
+    return p.select("id", "opacity", F.round(hx, 9).alias("hx"), (F.round(hy, 9) + 0.0).alias("hy"), F.round(hx + F.col("origin_lo_x").cast("double"), 10).alias("x"))
 
 
 # --- selection ------------------------------------------------------------
