@@ -20,11 +20,16 @@ than SMALL sets hold, as far as they are counted.
   needed: at 80 percent m <= 1.25 n, p - 1 > n / 5 - 1, and q - 1 <= n / 4, which holds from n = 14 on, and p > 8 means
   n >= 40. If only q > 8, n is 32 to 39 and q at most 10: 18 / 6 < 6 - 1. A higher share only narrows this.
 
+An entry says how many of its set's tokens a pair that needs this key can't share: those before a
+single key (a pair that shares one of them has an earlier key), all rare ones for a two (a pair that
+shares one of them has a single key). What is left of both sets must allow a link. It bounds a near copy
+whose own tokens are many: no set but one that has them too is compared with it.
+
 Keys that several sets hold give candidates, verified on whole sets. Up to
 SMALL sets of a key are compared all with all; a larger key first compares all
-with one of them, and after components are known, only what is still apart, in blocks.
-So a group of near copies costs a number of checks in proportion to its size,
-and no link between different components goes unseen.
+with the one that lacks least, and after components are known, only what is still apart and may link.
+So a group of near copies costs a number of checks in proportion to its size and to what is still apart with
+few tokens of its own, and no link between different components goes unseen.
 
 Before sets are fetched, a sieve drops pairs by parity sketches: a set's tokens
 flip the bits of a table about as large as the set, and two tables differ in no
@@ -74,9 +79,9 @@ def mismatch(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def fits(n, m, percent: int = PERCENT):
-    """Whether sizes n and m allow a link."""
-    return percent * np.maximum(n, m) <= 100 * np.minimum(n, m)
+def fits(n, x, m, y, percent: int = PERCENT):
+    """Whether sets of n and m tokens allow a link when they share none of x and y of these."""
+    return (100 + percent) * np.minimum(n - x, m - y) >= percent * (n + m)
 
 
 def set_id(u: np.ndarray) -> int:
@@ -94,15 +99,21 @@ def sets(column, k: int = K):
 
 def keys(u: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index keys of a set; frequent: mask over u."""
+    return placed_keys(u, frequent, percent)[0]
+
+
+def placed_keys(u: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and for each the tokens of the set that a pair which needs it doesn't share."""
     p = mismatch(len(u), percent)
     rare = u[~frequent][:p]
     if len(rare) >= p:
-        return rare
+        return rare, np.arange(p)
     often = u[frequent][: p - 1 + max(p, 2) - len(rare)]
     reach = len(often) if p <= ALL_TWOS else GAP + 1
     with np.errstate(over="ignore"):
         twos = [core.mix64(often[:-d] * _PAIR + often[d:]) for d in range(1, min(reach, len(often)))]
-    return np.concatenate([rare, *twos])
+    found = np.concatenate([rare, *twos])
+    return found, np.minimum(np.arange(len(found)), len(rare))
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
@@ -172,6 +183,10 @@ def joined(group, i: int, kind="<u8") -> np.ndarray:
     return np.frombuffer(b"".join(group.column(f"c{i}").to_pylist()), kind)
 
 
+def from_planes(group, i: int, kind) -> np.ndarray:
+    return np.concatenate([core.unplanes(x, kind) for x in group.column(f"c{i}").to_pylist()]).astype(np.int64)
+
+
 def frequent_tokens(docs: DataFrame, shards: int, words: int) -> str:
     """Folder of the frequent tokens' sorted hashes, a file for each hash range.
 
@@ -218,7 +233,7 @@ def frequent_tokens(docs: DataFrame, shards: int, words: int) -> str:
 
 
 def index_entries(docs: DataFrame, classes: str, shards: int, facts: str, words: int, percent: int) -> DataFrame:
-    """Blocks of (key, set id, size), dealt by key, and from shard `shards` on of (set id, bytes, sketch), by set id.
+    """Blocks of (key, set id, size, tokens not shared), dealt by key, and from shard `shards` on of (set id, bytes, sketch), by set id.
 
     Writes (id, size, set id) of every row to `facts` on the way.
     """
@@ -240,20 +255,22 @@ def index_entries(docs: DataFrame, classes: str, shards: int, facts: str, words:
             mask[order] = known.has(flat[order])
             ends = np.cumsum([len(u) for _, u in wait])
             for (s, u), z in zip(wait, ends, strict=True):
-                k = keys(u, mask[z - len(u) : z], percent)
-                parts.append((k, np.full(len(k), s, np.uint64), np.full(len(k), len(u), np.uint32), s, sketch(u)))
+                k, lost = placed_keys(u, mask[z - len(u) : z], percent)
+                parts.append((k, np.full(len(k), s, np.uint64), np.full(len(k), len(u), "<u4"), lost.astype("<u4"), s, sketch(u)))
                 made += len(k)
             wait.clear()
             return made
 
         def flush():
-            k, s, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            own, tables = np.array([p[3] for p in parts], np.uint64), [p[4] for p in parts]
-            to, rows = tokens.shard_of(own, shards), list(dealt(k, [k, s, n], shards))
+            k, s, n, lost = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            own, tables = np.array([p[4] for p in parts], np.uint64), [p[5] for p in parts]
+            to, rows = tokens.shard_of(own, shards), list(dealt(k, [k, s, n, lost], shards))
+            for r in rows:
+                r |= {c: core.planes(np.frombuffer(r[c], "<u4")) for c in ("c2", "c3")}
             for x in np.unique(to):
                 at = np.flatnonzero(to == x)
-                rows.append({"shard": int(x) + shards, "c0": own[at].tobytes(), "c1": np.array([len(tables[i]) for i in at], "<u4").tobytes(), "c2": b"".join(tables[i].tobytes() for i in at)})
-            return as_batch(rows, 3)
+                rows.append({"shard": int(x) + shards, "c0": own[at].tobytes(), "c1": np.array([len(tables[i]) for i in at], "<u4").tobytes(), "c2": b"".join(tables[i].tobytes() for i in at), "c3": b""})
+            return as_batch(rows, 4)
 
         for b in batches:
             ids.append(b.column(0).cast(pa.int64()))
@@ -279,7 +296,7 @@ def index_entries(docs: DataFrame, classes: str, shards: int, facts: str, words:
             null = np.asarray(keep.is_null())
             core.put_file(f"{facts}/{TaskContext.get().partitionId():06d}", np.rec.fromarrays([np.asarray(keep.fill_null(0)), null, np.array(sizes, np.int64), np.array(sids, np.uint64)], dtype=FACT))
 
-    return docs.mapInArrow(run, block_schema(3))
+    return docs.mapInArrow(run, block_schema(4))
 
 
 FACT = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<i8"), ("sid", "<u8")])
@@ -317,33 +334,35 @@ def candidates(entries: DataFrame, folder: str, sketches: str, shards: int, perc
         if shard >= shards:
             save_store(sketches, shard - shards, joined(group, 0), joined(group, 1, "<u4").astype(np.int64), joined(group, 2, np.uint8))
             return pa.Table.from_batches([as_batch([], 2)])
-        key, sid, n = joined(group, 0), joined(group, 1), joined(group, 2, "<u4")
-        order = np.lexsort((sid, key))
-        key, sid, n = key[order], sid[order], n[order]
+        key, sid, n, lost = joined(group, 0), joined(group, 1), from_planes(group, 2, "<u4"), from_planes(group, 3, "<u4")
+        order = np.lexsort((sid, lost, key))
+        key, sid, n, lost = key[order], sid[order], n[order], lost[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
-        key, sid, n = key[once], sid[once], n[once]
+        key, sid, n, lost = key[once], sid[once], n[once], lost[once]
         a, z = groups(key)
         held = np.repeat(z - a >= 2, z - a)
-        key, sid, n = key[held], sid[held], n[held]
+        key, sid, n, lost = key[held], sid[held], n[held], lost[held]
         a, z = groups(key)
         big = z - a > SMALL
         of_big = np.repeat(big, z - a)
         if of_big.any():
             core.put_file(f"{folder}/{shard:06d}.key", key[of_big])
             core.put_file(f"{folder}/{shard:06d}.sid", sid[of_big])
+            core.put_file(f"{folder}/{shard:06d}.n", n[of_big])
+            core.put_file(f"{folder}/{shard:06d}.lost", lost[of_big])
         left, right = [], []
         for d in range(1, SMALL):  # all twos of small keys, by distance
             at = np.flatnonzero((key[:-d] == key[d:]) & ~of_big[d:]) if d < len(key) else np.zeros(0, np.int64)
             if not len(at):
                 break
-            at = at[fits(n[at].astype(np.int64), n[at + d].astype(np.int64), percent)]
+            at = at[fits(n[at], lost[at], n[at + d], lost[at + d], percent)]
             left.append(sid[at])
             right.append(sid[at + d])
         first = np.repeat(a, z - a)
         star = np.flatnonzero(of_big & (first != np.arange(len(key))))
-        star = star[fits(n[star].astype(np.int64), n[first[star]].astype(np.int64), percent)]
+        star = star[fits(n[star], lost[star], n[first[star]], lost[first[star]], percent)]
         x, y = np.concatenate([*left, sid[first[star]]]), np.concatenate([*right, sid[star]])
-        pairs = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.uint64)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.uint64)
         x, y = pairs[:, 0], pairs[:, 1]
         rows = list(dealt(x ^ (y * _PAIR), [x, y], shards))
         need = np.unique(sid[of_big])
@@ -495,22 +514,34 @@ def roots(s: np.ndarray, labels: str, shards: int) -> np.ndarray:
     return out
 
 
+def may_ask(n: np.ndarray, lost: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which sets of a key some set of it, itself included, fits."""
+    most = (100 + percent) * (n - lost) // percent - n  # a set of more tokens is too large for it
+    order = np.argsort(n, kind="stable")
+    reach = np.concatenate([[-1], np.maximum.accumulate(most[order])])
+    return reach[np.searchsorted(n[order], most, side="right")] >= n
+
+
 def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shards: int, percent: int) -> DataFrame:
     """Links between different components among the sets of each large key.
 
-    What the largest component of a key has apart from it asks all of the key. A shard's asking sets are
+    What the largest component of a key has apart from it asks those of the key that it fits. A shard's asking sets are
     dealt into parts of about ASKING, each a row of its own that any task can take, and a task holds
     ANSWERING whole sets at a time.
     """
 
     def keys_of(shard: int):
-        """(sets, their components by number, what asks) of the shard's large keys with several components."""
+        """(sets, their sizes and tokens not shared, components by number, what asks) of the shard's large keys with several components."""
         key, sid = (sorted_file(f"{lists}/{shard:06d}.{e}") for e in ("key", "sid"))
+        root = roots(np.array(sid), labels, shards)
         for i, j in zip(*groups(key), strict=True):
             s = np.array(sid[i:j])
-            place, counts = np.unique(roots(s, labels, shards), return_inverse=True, return_counts=True)[1:]
+            place, counts = np.unique(root[i:j], return_inverse=True, return_counts=True)[1:]
             if len(counts) > 1:
-                yield s, place, np.flatnonzero(place != int(counts.argmax()))
+                n, lost = (np.array(core.map_file(f"{lists}/{shard:06d}.{e}", "<i8")[i:j]) for e in ("n", "lost"))
+                asking = np.flatnonzero((place != int(counts.argmax())) & may_ask(n, lost, percent))
+                if len(asking):
+                    yield s, n, lost, place, asking
 
     def part_of(s: np.ndarray, parts: int) -> np.ndarray:
         return core.mix64(s ^ _PAIR) % np.uint64(parts)
@@ -518,7 +549,7 @@ def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shar
     def listed(batches):
         for b in batches:
             for shard in b.column(0).to_pylist():
-                asking = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[x] for s, _, x in keys_of(shard))]))
+                asking = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[x] for s, *_, x in keys_of(shard))]))
                 parts = -(-len(asking) // ASKING)
                 if parts:
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * parts, pa.int64()), "part": pa.array(range(parts), pa.int64()), "parts": pa.array([parts] * parts, pa.int64())})
@@ -527,31 +558,42 @@ def still_apart(spark: SparkSession, lists: str, sets_at: str, labels: str, shar
         for b in batches:
             for shard, part, parts in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "parts")), strict=True):
                 store, tested, found = tokens.opened_store(sets_at, shards, "<u8"), {}, []
-                for s, place, asking in keys_of(shard):
-                    mine = [x for x in asking[part_of(s[asking], parts) == part] if (done := tested.get(int(s[x]))) is None or not np.isin(s, done).all()]
-                    if not mine:
+                for s, n, lost, place, asking in keys_of(shard):
+                    asked, own, met = {}, {}, {}
+                    for x in asking[part_of(s[asking], parts) == part]:
+                        to = np.flatnonzero((place != place[x]) & fits(n, lost, n[x], lost[x], percent))
+                        done = tested.get(int(s[x]))
+                        if done is not None and len(to):
+                            to = to[~np.isin(s[to], done)]
+                        if len(to):
+                            asked[x] = to
+                            tested[int(s[x])] = s[to] if done is None else np.union1d(done, s[to])
+                            own[x], met[x] = np.array(one_set(store, s[x])), np.zeros(int(place.max()) + 1, bool)
+                    if not asked:
                         continue
-                    own = {x: np.array(one_set(store, s[x])) for x in mine}
-                    met = {x: np.zeros(int(place.max()) + 1, bool) for x in mine}
-                    for low in range(0, len(s), ANSWERING):
-                        whole = [np.array(one_set(store, v)) for v in s[low : low + ANSWERING]]
-                        n, near = np.array([len(v) for v in whole]), place[low : low + ANSWERING]
+                    answer = np.unique(np.concatenate(list(asked.values())))
+                    for low in range(0, len(answer), ANSWERING):
+                        some = answer[low : low + ANSWERING]
+                        whole = [np.array(one_set(store, v)) for v in s[some]]
+                        size, near = n[some], place[some]
                         values, code = np.unique(np.concatenate(whole), return_inverse=True)
-                        starts, mark = np.cumsum(n) - n, np.zeros(len(values) + 1, np.int64)
-                        for x in mine:
+                        starts, mark = np.cumsum(size) - size, np.zeros(len(values) + 1, np.int64)
+                        for x, to in asked.items():
+                            mine = np.flatnonzero(np.isin(some, to) & ~met[x][near])
+                            if not len(mine):
+                                continue
                             at = np.searchsorted(values, own[x])
                             at = np.where(values[np.minimum(at, len(values) - 1)] == own[x], at, len(values))
                             mark[at] = 1
-                            both = np.add.reduceat(mark[code], starts)
+                            mark[-1] = 0
+                            of = code[tokens.ragged(starts[mine], size[mine])]
+                            both = np.add.reduceat(mark[of], np.cumsum(size[mine]) - size[mine])
                             mark[at] = 0
-                            hit = np.flatnonzero((100 * both >= percent * (n + len(own[x]) - both)) & (near != place[x]) & ~met[x][near])
+                            hit = mine[100 * both >= percent * (size[mine] + len(own[x]) - both)]
                             if len(hit):  # one link to each component that it touches
                                 places, one = np.unique(near[hit], return_index=True)
                                 met[x][places] = True
-                                found += [(s[x], s[low + y]) for y in hit[one]]
-                    for x in mine:
-                        done = tested.get(int(s[x]))
-                        tested[int(s[x])] = s if done is None else np.union1d(done, s)
+                                found += [(s[x], s[some[y]]) for y in hit[one]]
                 yield from as_edges([x for x, _ in found], [y for _, y in found]).to_batches()
 
     parts = core.materialise(spark.range(0, shards, 1, shards).mapInArrow(listed, "shard bigint, part bigint, parts bigint"), "apart")
@@ -575,6 +617,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     need = left.filter(F.col("shard") >= shards).unionByName(found.filter(F.col("shard") >= shards)).select("shard", "c0")
     sets_at = write_sets(rows, need, shards, k)
     first = core.materialise(verified(left.filter(F.col("shard") < shards), sets_at, shards, percent), "links")
+    for used in (found, left):
+        core.drop_table(used)
     stars = cc.components(first)
     labels = write_labels(stars, shards)
     more = core.materialise(still_apart(spark, lists, sets_at, labels, shards, percent), "links")

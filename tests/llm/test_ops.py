@@ -772,6 +772,49 @@ def test_keys_meet_at_80_percent():
     assert met > 500
 
 
+def test_linked_sets_fit_under_a_key_they_share():
+    """Of the keys that two linked sets share, one allows the link by what is left of both."""
+    rng, met, bound = np.random.default_rng(10), 0, 0
+    for percent in (80, 85):
+        for _ in range(700):
+            pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+            n = int(rng.integers(1, 320))
+            x = np.sort(rng.choice(pool, n, replace=False))
+            y = np.unique(np.concatenate([rng.permutation(x)[: n - int(rng.integers(0, n // 6 + 1))], rng.choice(pool, int(rng.integers(0, n // 6 + 1)))]))
+            marks = rng.choice(pool, int(len(pool) * rng.random() ** 0.3))
+            (k, i), (h, j) = (jaccard.placed_keys(s, np.isin(s, marks), percent) for s in (x, y))
+            _, a, b = np.intersect1d(k, h, return_indices=True)
+            ok = jaccard.fits(len(x), i[a], len(y), j[b], percent)
+            if jaccard.linked(x, y, percent) and not np.array_equal(x, y):
+                assert ok.any()
+                met += 1
+            else:
+                bound += len(ok) > 0 and not ok.any()
+    assert met > 300 and bound > 5
+
+
+def test_copies_with_many_words_of_their_own_ask_nobody(spark):
+    """Near copies of one text that are too far from all others aren't compared with them one by one."""
+    rng, asking = np.random.default_rng(52), []
+    base = [f"w{j}" for j in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):  # 2 to 5 changes leave a link at 85 percent with the base, over 7 don't
+        t = list(base)
+        for j in rng.choice(300, int(rng.choice([2, 3, 4, 9, 10])), replace=False):
+            t[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(t)))
+    most, keep = jaccard.ASKING, core.materialise
+    jaccard.ASKING = 1
+    core.materialise = lambda df, name: (found := keep(df, name), asking.append(found.agg(F.countDistinct("shard", "part")).first()[0]) if name == "apart" else None)[0]
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect()}
+    finally:
+        jaccard.ASKING, core.materialise = most, keep
+    assert got == brute_components(rows)
+    alone = len({c for _, c in got.values()}) - 1
+    assert alone > 40 and asking[0] < alone
+
+
 def test_near_duplicate_stage_is_five_words_at_80_percent(spark):
     words = [f"w{j}" for j in range(96)]  # two changes: 82 of 102 shingles of five words, 85 of 101 of four
     near = [*words[:30], "x", *words[31:60], "y", *words[61:]]
