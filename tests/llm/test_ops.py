@@ -456,6 +456,51 @@ def test_bm25_is_the_formula():
         assert w[a:z].tolist() == pytest.approx([v for v, _ in want], rel=1e-5) and n[a:z].tolist() == [df[int(t)] for t in h[a:z]]
 
 
+def test_words_of_pieces_are_read_off_their_ids(tmp_path):
+    """All words of a piece are found, not only its heaviest ones."""
+    rng, path = np.random.default_rng(33), packing.byte_bpe()
+    texts = [*(t for _, t in corpus() if t is not None), " ".join(f"Word{j}, \u00c9t\u00e9 {j}" for j in range(200)), "", "\u4f60\u597d <|endoftext|>\t \u00a0x"]
+    ids = [np.array([*x, packing.END_ID], tokens.id_type(path)) for x in library_ids("byte_bpe_50k.json", texts)]
+    pieces = packing.Pieces(str(tmp_path), tokens.id_type(path), np.zeros(1))
+    pieces.put(0, "ids", np.concatenate(ids))
+    pieces.put(0, "end", np.cumsum([len(x) for x in ids]))
+
+    class Known:
+        get = staticmethod(lambda u: np.full(len(u), 2))
+
+    some = np.sort(rng.permutation(len(texts))[: len(texts) - 3])
+    some = np.union1d(some, np.arange(len(texts) - 3, len(texts)))
+    count, term, _, df = packing.Words(path, Known, 50, 9.0).of(pieces, 0, some)
+    ends = np.cumsum(count)
+    for i, a, z in zip(some, ends - count, ends, strict=True):
+        data = np.frombuffer(texts[i].encode(), np.uint8)
+        assert set(term[a:z].tolist()) == set(core.plain_hashes(data, np.array([0, len(data)]))[0].tolist())
+    assert max(count) > packing.TERMS and (df == 2).all()
+
+
+def test_unused_pieces_meet_under_any_word(spark):
+    """Pieces whose partners share only words beyond the heaviest ones fill windows with them."""
+    rng = np.random.default_rng(34)
+    rare = iter(f"q{i}z" for i in range(100_000))
+    rows, kinds = [], 4
+    common = [[f"k{g}w{j}" for j in range(160)] for g in range(kinds)]
+    for i in range(48):  # twos of different kinds share 60 words that no others hold, kinds share 160 that twelve hold
+        if i % 2 == 0:
+            own = [next(rare) for _ in range(60)]
+        rows.append((i, " ".join(rng.permutation([*own, *common[i % kinds]]))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = packing.pack(docs, packing.byte_bpe()).collect()
+    size = {r["doc_id"]: r["doc_tokens"] for r in got}
+    assert max(size.values()) < packing.WINDOW
+    assert sum(r["length"] for r in got) == sum(size.values())
+    held = collections.defaultdict(collections.Counter)
+    for r in got:
+        held[r["sequence_id"]][r["doc_id"] % kinds] += r["length"]
+    full = [c for c in held.values() if sum(c.values()) == packing.WINDOW]
+    pure = np.mean([max(c.values()) / packing.WINDOW for c in full])
+    assert pure > 0.6, pure
+
+
 def test_packing_of_what_is_left():
     for total in (5, 2047, 2048, 2049, 9999):
         ends, at = packing.ends_of(total), 0
