@@ -635,6 +635,37 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key `gone` doesn't hold; rows without a key stay. Texts stay where they are: workers look keys up in sorted files."""
+    spark = docs.sparkSession
+    core.ship(spark)
+    folder, shards = core.shared_folder(spark, "gone"), core.shards_for(docs)
+
+    def split(batches):
+        for b in batches:
+            ids = np.unique(np.asarray(b.column(0).drop_null()).astype("<i8")).view("<u8")
+            yield as_batch(list(dealt(ids, [ids], shards)), 1)
+
+    def save(group):
+        k = group.column("shard")[0].as_py()
+        h = np.unique(core.mix64(joined(group, 0)))
+        core.put_file(f"{folder}/{k:06d}", h)
+        return pa.table({"shard": pa.array([k], pa.int32())})
+
+    gone.select(F.col(key).cast("bigint")).mapInArrow(split, block_schema(1)).groupBy("shard").applyInArrow(save, "shard int").count()
+    at = docs.columns.index(key)
+
+    def keep(batches):
+        known = Classes(folder, shards)
+        for b in batches:
+            ids = b.column(at).cast(pa.int64())
+            h = core.mix64(np.asarray(ids.fill_null(0)).astype("<i8").view("<u8"))
+            u, back = np.unique(h, return_inverse=True)
+            yield b.filter(pa.array(~known.has(u)[back] | np.asarray(ids.is_null())))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(core.table(spark, sf_dir, "documents"))
 
@@ -642,8 +673,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; documents without words stay, and rows without an id."""
     found = core.materialise(join(docs, k=STAGE_K, percent=STAGE_PERCENT), "groups")
-    gone = found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = without(docs, found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id"))
     ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id", "text"])  # a repeated row is a copy too
 

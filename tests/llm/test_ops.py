@@ -870,3 +870,30 @@ def test_near_duplicate_stage_is_five_words_at_80_percent(spark):
     assert not jaccard.linked(*(next(jaccard.sets(pa.array([r[1]]))) for r in rows[:2]))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
     assert sorted(r["doc_id"] for r in jaccard.stage(spark, docs, "").collect()) == [1, 3]
+
+
+def test_near_duplicates_go_without_moving_texts(spark):
+    """What stays is read where it lies, however many ids go; nulls and repeated rows stay."""
+    rows = [(i, f"text {i}") for i in range(-300, 300)] + [(None, "none"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = [i for i in range(-300, 300) if i % 3 == 0]
+    kept = jaccard.without(docs, spark.createDataFrame([(i,) for i in [*gone, *gone[:9], None]], "doc_id bigint"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert kept.schema == docs.schema
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] is None or r["doc_id"] not in set(gone))
+    assert sorted(map(str, jaccard.without(docs, docs.select("doc_id").limit(0)).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_duplicate_stage_joins_no_texts(spark):
+    near = [f"w{j}" for j in range(60)]
+    rows = [(i, " ".join([*near, f"x{i}"]) if i < 5 else " ".join(f"v{i}n{j}" for j in range(30)), "en", "s", 1) for i in range(40)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int"), "")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(5, 40)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
