@@ -501,6 +501,27 @@ def test_unused_pieces_meet_under_any_word(spark):
     assert pure > 0.6, pure
 
 
+def test_queries_pack_by_all_words_in_every_round(spark, tmp_path):
+    """The heaviest words lead to windows of the wrong texts; the query and the pipeline's stage weigh all words before any window is filled."""
+    rng, kinds = np.random.default_rng(35), 4
+    common = [[f"k{g}w{j}" for j in range(160)] for g in range(kinds)]
+    rows = []
+    for i in range(96):  # fours of different kinds share 60 words (184 of BM25), kinds share 160 lighter ones (220)
+        rows.append((i, " ".join(rng.permutation([*(f"q{i // kinds}z{j}" for j in range(60)), *common[i % kinds]]))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def pure(got):
+        held = collections.defaultdict(collections.Counter)
+        for r in got.collect():
+            held[r["sequence_id"]][r["doc_id"] % kinds] += r["length"]
+        return np.mean([max(c.values()) / packing.WINDOW for c in held.values() if sum(c.values()) == packing.WINDOW])
+
+    assert pure(packing.stage(spark, docs, "")) > 0.7
+    assert pure(packing.op5_packing(spark, str(tmp_path))) > 0.7
+    assert pure(packing.pack(docs, packing.byte_bpe())) < 0.6  # the cheaper rounds of the general interface
+
+
 def test_packing_of_what_is_left():
     for total in (5, 2047, 2048, 2049, 9999):
         ends, at = packing.ends_of(total), 0
