@@ -503,15 +503,18 @@ def write_labels(labels: DataFrame, shards: int) -> str:
 
 def roots(s: np.ndarray, labels: str, shards: int) -> np.ndarray:
     """The component of each set id."""
-    out, k = s.copy(), tokens.shard_of(core.mix64(s), shards)
-    for x in np.unique(k):
+    u, back = np.unique(s, return_inverse=True)  # a set has many keys
+    out, k = u.copy(), tokens.shard_of(core.mix64(u), shards)
+    order = np.argsort(k, kind="stable")
+    cut = np.searchsorted(k[order], np.arange(shards + 1, dtype=np.uint64))
+    for x in np.flatnonzero(np.diff(cut)):
         ids, root = (sorted_file(f"{labels}/{x:06d}.{e}") for e in ("sid", "root"))
         if len(ids):
-            mine = np.flatnonzero(k == x)
-            at = np.minimum(np.searchsorted(ids, s[mine]), len(ids) - 1)
-            hit = ids[at] == s[mine]
+            mine = order[cut[x] : cut[x + 1]]
+            at = np.minimum(np.searchsorted(ids, u[mine]), len(ids) - 1)
+            hit = ids[at] == u[mine]
             out[mine[hit]] = root[at[hit]]
-    return out
+    return out[back]
 
 
 def may_ask(n: np.ndarray, lost: np.ndarray, percent: int = PERCENT) -> np.ndarray:

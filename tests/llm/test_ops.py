@@ -918,3 +918,26 @@ def test_near_duplicate_stage_joins_no_texts(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(5, 40)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_components_are_looked_up_once_a_set(tmp_path):
+    """What a look-up touches follows the sets, not the sets times the shards, of which a larger table has more."""
+    touched = []
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+            got = getattr(ufunc, method)(*(np.asarray(x) if isinstance(x, Counted) else x for x in inputs), **kw)
+            touched.append(np.size(got))
+            return got.view(Counted) if isinstance(got, np.ndarray) else got
+
+    rng, shards = np.random.default_rng(53), 400
+    s = rng.choice(rng.integers(0, 1 << 63, 3000, dtype=np.uint64), 20_000)
+    known = np.unique(s)[::2]
+    of = tokens.shard_of(core.mix64(known), shards)
+    for x in np.unique(of):
+        core.put_file(f"{tmp_path}/{x:06d}.sid", known[of == x])
+        core.put_file(f"{tmp_path}/{x:06d}.root", known[of == x] // np.uint64(2))
+    got = np.asarray(jaccard.roots(s.view(Counted), str(tmp_path), shards))
+    assert np.array_equal(got, np.where(np.isin(s, known), s // np.uint64(2), s))
+    assert sum(touched) < 40 * len(s)
+    assert jaccard.roots(s[:0], str(tmp_path), shards).size == 0
