@@ -522,6 +522,62 @@ def test_queries_pack_by_all_words_in_every_round(spark, tmp_path):
     assert pure(packing.pack(docs, packing.byte_bpe())) < 0.6  # the cheaper rounds of the general interface
 
 
+def test_words_of_pieces_are_kept_as_they_are_read_off(tmp_path):
+    """Rounds that ask with all words read them off the ids once, not in each round; what is kept gives the same words, impacts and order."""
+    rng, path = np.random.default_rng(35), packing.byte_bpe()
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 40, int(rng.integers(1, 60)))) for _ in range(50)] + ["", "one " * 900, ".", *(t for _, t in corpus() if t is not None)]
+    ids = [np.array([*x, packing.END_ID], tokens.id_type(path))[-packing.WINDOW + 1 :] for x in library_ids("byte_bpe_50k.json", texts)]
+    pieces = packing.Pieces(str(tmp_path), tokens.id_type(path), np.array([0, len(ids)]))
+    pieces.put(0, "ids", np.concatenate(ids))
+    pieces.put(0, "end", np.cumsum([len(x) for x in ids]))
+
+    class Known:
+        get = staticmethod(lambda u: (u % np.uint64(7)).astype(np.int64))  # words of no or one document aren't asked with
+
+    read = packing.Words(path, Known, 50, 9.0)
+    read.keep(pieces, 0)
+    for some in (np.arange(len(ids)), np.flatnonzero(rng.random(len(ids)) < 0.3), np.zeros(0, np.int64)):
+        for got, want in zip(packing.Words(path, None, 50, 9.0, True).of(pieces, 0, some), read.of(pieces, 0, some), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_pieces_encoded_in_one_text_have_the_ids_they_have_alone():
+    rng, path = np.random.default_rng(36), packing.byte_bpe()
+    parts = [" ", " ", "  ", "\n", "\t", "\u0085", "\u00a0", "\u2003", "\u3000", "a", "Bc", "'s", "'ll", "12", "\u00e9", "\u4f60\u597d", "!", "..", "\u201d", "<|endoftext|>", "\r\n", "\x1c"]
+    for texts in (["".join(rng.choice(parts, int(rng.integers(1, 25)))) for _ in range(3000)], [" "], [" a"], ["a"], ["a b c"]):
+        data, off = core.string_buffers(pa.array(texts))
+        s, e, _ = tokens.pieces("spaced", data, off)
+        alone, joined = (tokens.encoder(path, x)(data, s, e - s) for x in (False, True))
+        assert joined[0].tolist() == alone[0].tolist() and joined[1].tolist() == alone[1].tolist()
+
+
+def test_orders_and_hashes_of_blocks():
+    rng = np.random.default_rng(37)
+    for rows in (3, 70_000):
+        row, code = rng.integers(0, rows, 100_000), rng.integers(0, 50, 100_000).astype("<u4") * np.uint32(80_000_000)
+        assert (core.by_row(row, code) == np.lexsort((code, row))).all()
+    assert core.by_row(np.zeros(0, np.int64), np.zeros(0, "<u4")).tolist() == []
+    h = rng.integers(0, 900, 5000).astype(np.uint64)
+    u, at = core.one_of_each(h)
+    assert u.tolist() == np.unique(h).tolist() and (h[at] == u).all() and len(core.one_of_each(h[:0])[0]) == 0
+    words = [b"x" * int(n) for n in (*rng.integers(1, 9, 40_000), 200_000, 3, core.SPANS_BYTES, 1)]  # some longer than a stretch
+    data, off = np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))])
+    known = {n: core.word_hash(b"x" * n) for n in set(map(len, words))}
+    assert core.word_hashes(data, off)[0].tolist() == [known[len(w)] for w in words] and len(set(known.values())) == len(known)
+
+
+def test_workers_settle_once():
+    import gc
+
+    try:
+        core.settle()
+        held = gc.get_freeze_count()
+        core.settle()
+        assert 0 < held == gc.get_freeze_count()
+    finally:
+        gc.unfreeze()
+
+
 def test_packing_of_what_is_left():
     for total in (5, 2047, 2048, 2049, 9999):
         ends, at = packing.ends_of(total), 0
