@@ -566,9 +566,10 @@ def test_orders_and_hashes_of_blocks():
     assert core.word_hashes(data, off)[0].tolist() == [known[len(w)] for w in words] and len(set(known.values())) == len(known)
 
 
-def test_workers_settle_once():
+def test_workers_settle_once(monkeypatch):
     import gc
 
+    monkeypatch.setattr(core, "_settled", [])
     try:
         core.settle()
         held = gc.get_freeze_count()
