@@ -2,7 +2,9 @@
 
 One step a level: filter the frontier by bounds, frustum and level of detail,
 keep what is good enough, turn the rest into children on generated keys. Levels are
-broadcast, as a dataset has few; views stay distributed. Results
+broadcast, as a dataset has few; views stay distributed, dealt by frame once, and so are the tiles of every
+level. What doesn't depend on a view is computed once a tile for levels of up to MOST_TILES tiles, and broadcast; for
+others once a tile and view. Results
 are sets of (z, x, y). The number of levels is small and known, so the plan has a fixed depth.
 """
 
@@ -18,6 +20,7 @@ from ..functions import affine, spaces
 from ..functions.barrier import computed
 
 MOST_ROOTS = 100
+MOST_TILES = 4096
 MAX_SPAN, LEAST_FORESHORTENING = 30.0, 0.05
 # Reference points of a tile, its centre first.
 REFERENCE = [(0.5, 0.5), (0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.5), (0.5, 0.0), (1.0, 0.5), (0.5, 1.0)]
@@ -115,27 +118,41 @@ def children(tiles: DataFrame, levels: DataFrame) -> DataFrame:
     return affine.exploded(ranges).select("frame", "z", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
 
 
+def whole_level(levels: DataFrame, z: int) -> DataFrame:
+    """All tiles of a level, with its facts."""
+    zero = F.lit(0).cast("bigint")
+    ends = {"min_col": zero, "min_row": zero, "max_col": (F.col("matrix_w") - 1).cast("bigint"), "max_row": (F.col("matrix_h") - 1).cast("bigint")}
+    return affine.exploded(levels.filter(F.col("z") == z).withColumns(ends)).withColumns({c: F.col(c).cast("int") for c in "xy"})
+
+
 def select_tiles(levels: DataFrame, view: DataFrame, globe: bool = False, depth: int = 1, max_z: int | None = None, lod_bias: float = 0.0, bounds: tuple[float, ...] | None = None, box: tuple[float, ...] | None = None, to_metres: Projection = identity, from_lnglat: Projection = spaces.metres_from_lnglat, low: float = 0.0, high: float = 0.0) -> DataFrame:
     """(frame, z, x, y) to draw; levels carry level facts (affine.with_level_facts), depth is their number.
 
     box: common-space bounds that tiles must overlap.
     """
     last = depth - 1 if max_z is None else max_z
+    few = {r["z"] for r in levels.filter(F.col("matrix_w").cast("bigint") * F.col("matrix_h") <= MOST_TILES).select("z").collect()}
+    view = view.repartition("frame")
     frontier, chosen = roots(levels, view, bounds, from_lnglat), None
     for z in range(depth):
-        seen = with_volume(frontier.join(F.broadcast(levels), "z").join(view, "frame"), globe, to_metres, low, high)
+        seen = frontier.join(view, "frame")
+        if z in few:
+            own = with_volume(whole_level(levels, z), globe, to_metres, low, high).select("z", "x", "y", "mpp", *CULL_BOX, "hull", "centre")
+            seen = seen.join(F.broadcast(own), ["z", "x", "y"])
+        else:
+            seen = with_volume(seen.join(F.broadcast(levels), "z"), globe, to_metres, low, high)
         if box is not None:
             seen = seen.filter(overlaps(tuple(F.lit(float(v)) for v in box), tuple(F.col(c) for c in CULL_BOX)))
         seen = seen.filter(in_frustum(F.col("hull"), F.col("planes")))
         done = F.lit(True) if z >= last else fine_enough(F.col("mpp"), metres_per_css_pixel(globe), F.col("pixel_ratio"), lod_bias)
         seen = computed(seen, {"done": done}, ["frame", "z", "x", "y"])
-        part = seen.filter("done").select("frame", "z", "x", "y")
+        part = seen.filter("done").select("frame", "z", "x", "y").distinct()
         chosen = part if chosen is None else chosen.unionByName(part)
         if z >= last or z == depth - 1:
             break
         rest = seen.filter("not done").select("frame", "z", "x", "y")
-        frontier = children(rest, levels)
-    return chosen.distinct()
+        frontier = children(rest, levels).repartition("frame")  # rows stay where they are; what reads them twice computes them once
+    return chosen
 
 
 def elevation_range(z_range: tuple[float, float] | None, units: float) -> tuple[float, float]:
