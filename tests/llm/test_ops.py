@@ -425,6 +425,61 @@ def test_packing_is_the_stated_rounds(spark):
     assert sum(r["length"] for r in got) == sum(len(x) + 1 for x in ids)
 
 
+@pytest.mark.parametrize("most", [2, 5, 1 << 16])
+def test_packing_meets_the_seeds_beside_a_piece_in_the_whole_list(spark, tmp_path, monkeypatch, most):
+    """In lists of many seeds too, with equal impacts, whatever stretches they are cut into."""
+    monkeypatch.setattr(packing, "LIST", most)
+    rng, path, parts = np.random.default_rng(41), packing.byte_bpe(), [0, 1, 2]
+    texts = [" ".join(rng.choice(WORDS[:12], 6 if i % 3 else 6 + int(rng.integers(0, 3)))) for i in range(300)]
+    pieces = packing.Pieces(str(tmp_path), tokens.id_type(path), np.array([0, 110, 230, 300]))
+    df = collections.Counter(core.word_hash(w.encode()) for t in texts for w in set(t.lower().split()))
+    known = type("Known", (), {"get": staticmethod(lambda u: np.array([df[int(x)] for x in u], np.int64))})
+    for p in parts:
+        own = [np.array([*x, packing.END_ID], pieces.dtype) for x in library_ids("byte_bpe_50k.json", texts[pieces.bases[p] : pieces.bases[p + 1]])]
+        pieces.put(p, "ids", np.concatenate(own))
+        pieces.put(p, "end", np.cumsum([len(x) for x in own]))
+        pieces.put(p, "used-0", np.zeros(len(own), "<i4"))
+        packing.Words(path, known, 300, 6.5).keep(pieces, p)
+    words = packing.Words(path, None, 300, 6.5, True)
+    cuts = {}
+    if hasattr(packing, "cut_lists"):
+        cuts = {"cuts": packing.cut_lists(packing.sample_lists(spark, pieces, parts, words), 0.3, 300)}
+        assert (cuts["cuts"].last.max(initial=0) > 3) == (most < 9)
+    now = packing.Round(pieces, 0, 0.3, 3, {}, words, str(tmp_path / "seeds"), 4, **cuts)
+    blocks = collections.defaultdict(list)
+    for p in parts:
+        for x in now.seeds(p):
+            for row in x:
+                blocks[row["shard"]].append(row)
+    for x in blocks.values():
+        now.index(packing.as_table(x))
+    got = {}
+    for p in parts:
+        for x in now.choices(p):
+            seed, _, piece, _, score = packing.columns_of(packing.as_table(x), ["<i8", "<i4", "<i8", "<i4", "<f4"])
+            got |= {j: (i, c) for i, j, c in zip(seed.tolist(), piece.tolist(), score.tolist(), strict=True)}
+    lists, seeds = collections.defaultdict(list), set()
+    for p in parts:
+        number, _, kind = (now.unused(p)[i] for i in (0, 1, -1))
+        seeds |= set(number[kind == 1].tolist())
+        count, term, w, _ = words.of(pieces, p, np.arange(len(number)))
+        for i, t, x in zip(np.repeat(number, count).tolist(), term.tolist(), w.tolist(), strict=True):
+            lists[t].append((-x, i))
+    score = collections.defaultdict(lambda: collections.defaultdict(float))
+    for held in lists.values():
+        held.sort()
+        for side in (1, -1):
+            near = None
+            for x, i in held[::side]:
+                if i in seeds:
+                    near = i
+                elif near is not None:
+                    score[i][near] += -x
+    assert set(got) == set(score) == set(range(300)) - seeds
+    for i, (j, x) in got.items():
+        assert x == pytest.approx(max(score[i].values()), rel=1e-5) and score[i][j] == pytest.approx(x, rel=1e-5)
+
+
 def test_packing_does_not_depend_on_shards(spark):
     rng = np.random.default_rng(12)
     rows = [(i, " ".join(rng.choice(WORDS, int(rng.integers(5, 900))))) for i in range(80)] + [(200 + i, "the same text " * 90) for i in range(60)]
