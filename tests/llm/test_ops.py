@@ -634,6 +634,20 @@ def test_workers_settle_once(monkeypatch):
         gc.unfreeze()
 
 
+def test_freed_memory_goes_back_to_the_system():
+    import gc
+
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+    gc.collect()
+    before = held()
+    arrays = [np.ones(8 << 10) for _ in range(4000)]  # 64 KB each, 250 MB in all
+    last = arrays.pop()  # above the others, so they aren't the end of the heap
+    assert held() > before + 200
+    del arrays
+    gc.collect()
+    assert held() < before + 60 and last[0] == 1
+
+
 def test_packing_of_what_is_left():
     for total in (5, 2047, 2048, 2049, 9999):
         ends, at = packing.ends_of(total), 0
