@@ -4,7 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -621,6 +624,47 @@ def test_orders_and_hashes_of_blocks():
     assert core.word_hashes(data, off)[0].tolist() == [known[len(w)] for w in words] and len(set(known.values())) == len(known)
 
 
+def test_marks_after_a_word_are_a_piece_of_their_own():
+    """Words that differ only in the punctuation that ends them are found, moved and encoded once."""
+    distinct = lambda x: {x.encode()[a:z].decode() for a, z in zip(*tokens.pieces("spaced", np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[:2], strict=True)}
+    assert distinct("w w, w. w... \u00fcb \u00fcb, b\u00fc! 12, (w)") == {"w", " w", ",", ".", "...", " \u00fcb", " b\u00fc", "!", " 12", " (w", ")"}
+    assert distinct("x\u00d7, \u201d, \u4f60! don't, a' ...") == {"x\u00d7,", " \u201d,", " \u4f60!", " don't", ",", " a", "'", " ..."}
+    rng, path = np.random.default_rng(38), packing.byte_bpe()
+    parts = ["a", "Z", "9", "\u00fc", "\u00d7", "\u00f7", "\u4f60", "\u201d", ",", "'", "!?", "-" * 9, "_", "\x01", "\x1c", " ", " ", "\n", "\u00a0"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 16)))) for _ in range(1500)]
+    data, off = core.string_buffers(pa.array(texts))
+    s, e, first = tokens.pieces("spaced", data, off)
+    counts, ids = tokens.encoder(path, True)(data, s, e - s)
+    assert (s[1:] == e[:-1]).all() and [x.tolist() for x in np.split(ids, np.concatenate([[0], np.cumsum(counts)])[first[1:-1]])] == library_ids("byte_bpe_50k.json", texts)
+
+
+def test_orders_of_64_bit_values():
+    rng = np.random.default_rng(39)
+    low, high = rng.integers(0, 3, 5000).astype(np.uint64), rng.integers(0, 40, 5000).astype(np.uint64) << np.uint64(58)
+    for x in (low, high, high | low, rng.integers(0, 1 << 63, 5000).astype(np.uint64), low[:1], low[:0]):  # places take the bits that tell some of these apart
+        assert core.order_of(x).tolist() == np.argsort(x, kind="stable").tolist()
+        for got, want in zip(core.numbered(x), np.unique(x, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_packing_keeps_the_words_of_texts_as_of_their_ids(spark, tmp_path):
+    """What is kept of a text, or of the end of one that is longer than a window, is what its piece's ids spell."""
+    path, texts = packing.byte_bpe(), [t for _, t in corpus()] + ["\u00c9t\u00e9, \u4f60\u597d w1 " * 700, "x" * 9000 + " w2. w1", "w1 " * 2047, "a\u00a0b " * 900]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string").coalesce(1)
+    store, shards = tokens.build_store(rows, "t", tokens.encoder(path, True), "spaced")
+    words, n, mean = packing.count_words(rows, 2)
+    ((part, *_),) = packing.cut(rows, path, str(tmp_path / "cut"), store, shards, tokens.id_type(path), words, n, mean, packing.END_ID, True)
+    pieces = packing.Pieces(str(tmp_path / "cut"), tokens.id_type(path), np.zeros(1))
+    names = [("word", "<u8"), ("df", "<u4"), ("words", "<u4"), ("wend", "<i8"), ("bits", "<i8"), ("code", "<u4")]
+    read = packing.Pieces(str(tmp_path / "read"), pieces.dtype, np.zeros(1))
+    for x, kind in (("ids", pieces.dtype), ("end", "<i8")):
+        read.put(part, x, pieces.file(part, x, kind))
+    packing.Words(path, words, n, mean).keep(read, part)
+    assert len(pieces.file(part, "code", "<u4")) > 100
+    for x in names:
+        assert pieces.file(part, *x).tolist() == read.file(part, *x).tolist()
+
+
 def test_workers_settle_once(monkeypatch):
     import gc
 
@@ -634,6 +678,12 @@ def test_workers_settle_once(monkeypatch):
         gc.unfreeze()
 
 
+def test_blocks_reuse_freed_memory():
+    code = "import resource, numpy as np; from gridloom.llm import textcore as core; core.reuse(); x = np.ones(1 << 19); f = lambda: [x + x, x * x] and resource.getrusage(0).ru_minflt; f(); a = f(); [f() for _ in range(20)]; print(f() - a)"
+    root = os.path.dirname(os.path.dirname(packing.__file__))
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(root), capture_output=True, text=True, check=True).stdout) < 2000  # a page is 4 KB, and these arrays have 1024 each
+
+
 def test_freed_memory_goes_back_to_the_system():
     import gc
 
